@@ -1,0 +1,6 @@
+"""No streaming operators: every table the engine judges is a finished batch.
+
+The fitted halves (``apply_clip``, ``assign_split``, ``Preprocessor.transform``,
+model scoring) are plain column expressions over literals, so they also accept
+a streaming DataFrame.  Nothing here fits statistics on an unbounded stream.
+"""
