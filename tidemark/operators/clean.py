@@ -103,7 +103,8 @@ def clean_transactions(raw: DataFrame, workspace: Workspace, order: str = "row_i
     their own before they can be applied; that pass reads one column.
     """
     rows = workspace.stage(deduplicated(raw, order), "deduplicated")
-    return with_features(apply_clip(rows, fit_quantile_clip(rows)))
+    bounds = fit_quantile_clip(rows, rows=workspace.rows["deduplicated"])
+    return with_features(apply_clip(rows, bounds))
 
 
 def compare_clip_policies(

@@ -39,18 +39,19 @@ class Matrix:
 
 def prepare_matrix(
     clean: DataFrame, bounds: SplitBounds, spec: FeatureSpec, *, target: str = "history_price",
-    attributes: Sequence[str] = ATTRIBUTES,
+    attributes: Sequence[str] = ATTRIBUTES, rows: int | None = None,
 ) -> Matrix:
     """Fit preprocessing on the train rows and prepare every row once.
 
-    The matrix is persisted, because tree learners read it once per level; a
+    ``rows`` may bound the table's size when the caller knows it.  The matrix
+    is persisted, because tree learners read it once per level; a
     lost block is recomputed from the staged clean table.
     """
     split = assign_split(clean, bounds)
-    prep = fit_preprocessor(clean.where(bounds.rows_of("train")), spec)
+    prep = fit_preprocessor(clean.where(bounds.rows_of("train")), spec, rows=rows)
     kept = [named(c) for c in attributes if c in clean.columns]
-    rows = prep.transform(split).select("row_id", "split", *kept, named(target).alias(LABEL), "features")
-    return Matrix(rows.persist(StorageLevel.MEMORY_AND_DISK), prep)
+    prepared = prep.transform(split).select("row_id", "split", *kept, named(target).alias(LABEL), "features")
+    return Matrix(prepared.persist(StorageLevel.MEMORY_AND_DISK), prep)
 
 
 def fit_all(train: DataFrame, learners: Sequence[Learner], feature_dim: int):

@@ -52,16 +52,23 @@ def impute(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
         c: F.coalesce(F.expr(number_sql(c)), F.lit(v)) for c, v in values.items() if v is not None})
 
 
-def fit_scaler(train: DataFrame, medians: Mapping[str, float | None]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation after imputing; a constant column scales by 1."""
+def _scale_aggregates(medians: Mapping[str, float | None]):
+    """Per imputed column its mean and its population deviation."""
+    filled = [F.coalesce(F.expr(number_sql(c)), F.lit(m)) for c, m in medians.items() if m is not None]
+    return [f(x) for x in filled for f in (F.avg, F.stddev_pop)]
+
+
+def _read_scaler(medians: Mapping[str, float | None], row) -> dict[str, tuple[float, float]]:
     columns = [c for c, m in medians.items() if m is not None]
-    if not columns:
-        return {}
-    filled = [F.coalesce(F.expr(number_sql(c)), F.lit(medians[c])) for c in columns]
-    row = train.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first()
     return {c: (row[2 * i], row[2 * i + 1] or 1.0) for i, c in enumerate(columns)}
 
 
+def fit_scaler(train: DataFrame, medians: Mapping[str, float | None]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation after imputing; a constant column scales by 1."""
+    aggregates = _scale_aggregates(medians)
+    return _read_scaler(medians, train.agg(*aggregates).first()) if aggregates else {}
+
+
 def standardize(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({
         c: (named(c) - F.lit(mean)) / F.lit(scale) for c, (mean, scale) in scaler.items()})
@@ -75,7 +82,8 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_categories(
-    train: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES
+    train: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES,
+    sizes: Sequence[int] | None = None,
 ) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Most frequent value (ties: smallest) and the sorted values of each column.
 
@@ -83,7 +91,8 @@ def fit_categories(
     """
     if not columns:
         return {}, {}
-    sizes = train.agg(*[F.approx_count_distinct(named(c)) for c in columns]).first()
+    if sizes is None:
+        sizes = train.agg(*[F.approx_count_distinct(named(c)) for c in columns]).first()
     wide = [c for c, n in zip(columns, sizes) if n > max_categories]
     if wide:
         raise ValueError(f"too many categories for one-hot columns: {', '.join(wide)}")
@@ -118,13 +127,15 @@ class Preprocessor:
 def fit_preprocessor(
     train: DataFrame, spec: FeatureSpec, *, max_categories: int = MAX_CATEGORIES, **options
 ) -> Preprocessor:
-    """Four small aggregate passes over ``train``, whatever the column count.
+    """Three aggregate passes over ``train``, whatever the column count.
 
     A column without any train value carries no information and is left out.
     """
     medians = {c: m for c, m in fit_medians(train, spec.numeric, **options).items() if m is not None}
-    scaler = fit_scaler(train, medians)
-    modes, categories = fit_categories(train, spec.categorical, max_categories)
+    scales = _scale_aggregates(medians)
+    row = train.agg(F.count(F.lit(1)), *scales, *[F.approx_count_distinct(named(c)) for c in spec.categorical]).first()
+    scaler = _read_scaler(medians, row[1:])
+    modes, categories = fit_categories(train, spec.categorical, max_categories, row[1 + len(scales):])
 
     numbers = {c: f"num_{i}_{safe_name(c)}" for i, c in enumerate(scaler)}
     texts = {c: f"cat_{i}_{safe_name(c)}" for i, c in enumerate(modes)}

@@ -46,7 +46,7 @@ def walk_forward(
         train, val = df.where(fold.train_rows()), df.where(fold.val_rows())
         dim = 0
         if spec is not None:
-            prep = fit_preprocessor(train, spec)
+            prep = fit_preprocessor(train, spec, rows=support["train_rows"])
             train, val, dim = prep.transform(train), prep.transform(val), prep.feature_dim
         columns = [named(target).alias(LABEL), *(["features"] if spec is not None else [])]
         train = train.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,20 @@ from tidemark.workspace import Workspace
 #: The model binned and drawn in the diagnostics queries.
 DRAWN_MODEL = "saleEstimate_currentPrice"
 
+#: Columns that cleaning, splitting and the untrained predictions read.
+KEYS = ("row_id", "fullAddress", "history_date", "history_price")
+SCORED = (*KEYS, "bedrooms", "outcode", "propertyType", *fixtures.ESTIMATES)
+
 
 class Inputs:
-    """One query's tables; nothing is shared between queries."""
+    """One query's tables; nothing is shared between queries.
+
+    ``columns`` names what the query reads, so that staged tables hold no
+    more and the aggregates behind other columns are never computed.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None):
+        self.spark, self.sf_dir, self.columns = spark, sf_dir, columns
 
     @cached_property
     def workspace(self) -> Workspace:
@@ -32,7 +41,8 @@ class Inputs:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return fixtures.sales(self.spark, self.sf_dir)
+        rows = fixtures.sales(self.spark, self.sf_dir)
+        return rows if self.columns is None else rows.select(*self.columns)
 
     @cached_property
     def dirty(self) -> DataFrame:
@@ -47,6 +57,11 @@ class Inputs:
     def clean(self) -> DataFrame:
         return clean_transactions(self.sales, self.workspace)
 
+    @property
+    def size(self) -> int:
+        """Rows of the clean table, counted while it was staged."""
+        return self.workspace.rows["deduplicated"]
+
     @cached_property
     def bounds(self) -> SplitBounds:
         return fit_calendar_split(self.clean)
@@ -65,7 +80,7 @@ class Inputs:
         """Untrained predictions: two train medians and the vendor columns."""
         train = self.clean.where(self.bounds.rows_of("train")).select(
             "history_price", (F.col("history_price") / F.col("bedrooms")).alias("rate"))
-        fitted = exact_medians(train, ["history_price", "rate"])
+        fitted = exact_medians(train, ["history_price", "rate"], rows=self.size)
         scores = {
             "NaiveMedian": F.lit(fitted["history_price"]),
             "RoomRate": F.col("bedrooms") * F.lit(fitted["rate"]),

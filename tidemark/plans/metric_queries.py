@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bands, diagnostics, governance, metrics, walkforward
 from tidemark.plans import fixtures
-from tidemark.plans.inputs import DRAWN_MODEL, Inputs
+from tidemark.plans.inputs import DRAWN_MODEL, KEYS, SCORED, Inputs
 from tidemark.plans.model_queries import _BOARD
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
@@ -15,7 +15,7 @@ from tidemark.plans.registry import query, rounded
 
 
 def _metrics(spark, sf_dir, *columns: str):
-    found = metrics.regression_metrics(Inputs(spark, sf_dir).predictions())
+    found = metrics.regression_metrics(Inputs(spark, sf_dir, SCORED).predictions())
     return rounded(found.select("model", "split", *columns))
 
 
@@ -38,14 +38,14 @@ def metric_mape_within(spark, sf_dir):
 SELECT model, round(test_rmse,4) AS test_rmse, round(test_rmse_improvement_vs_naive_pct,4) AS test_rmse_improvement_vs_naive_pct
 FROM board"""))
 def metric_uplift(spark, sf_dir):
-    wide = metrics.wide_results(metrics.regression_metrics(Inputs(spark, sf_dir).predictions()))
+    wide = metrics.wide_results(metrics.regression_metrics(Inputs(spark, sf_dir, SCORED).predictions()))
     return rounded(metrics.with_uplift(wide.select("model", "test_rmse")))
 
 
 @query(twin(f"SELECT {_BOARD} FROM board"))
 def leaderboard(spark, sf_dir):
     """Every model arrives twice; the later, worse run of a name is ignored."""
-    first = metrics.regression_metrics(Inputs(spark, sf_dir).predictions()).withColumn("arrival", F.lit(1))
+    first = metrics.regression_metrics(Inputs(spark, sf_dir, SCORED).predictions()).withColumn("arrival", F.lit(1))
     again = first.withColumns({"arrival": F.lit(2), "rmse": F.col("rmse") * 2})
     return rounded(metrics.leaderboard(first.unionByName(again), arrival="arrival"))
 
@@ -54,30 +54,30 @@ def leaderboard(spark, sf_dir):
 SELECT model, CAST(year(history_date) AS INTEGER) AS year, round(sqrt(avg((y_true-y_pred)*(y_true-y_pred))),4) AS rmse
 FROM test GROUP BY 1, 2"""))
 def err_by_year(spark, sf_dir):
-    return rounded(metrics.error_by_year(Inputs(spark, sf_dir).predictions("test")))
+    return rounded(metrics.error_by_year(Inputs(spark, sf_dir, SCORED).predictions("test")))
 
 
 def _banded(q: Inputs):
-    edges = bands.fit_band_edges(q.rows_of("test"), "history_price")
+    edges = bands.fit_band_edges(q.rows_of("test"), "history_price", rows=q.size)
     return bands.assign_bands(q.predictions("test"), edges)
 
 
 @query(twin("SELECT row_id, price_band FROM banded WHERE model = 'NaiveMedian'"))
 def band_quantile(spark, sf_dir):
-    return _banded(Inputs(spark, sf_dir)).where("model = 'NaiveMedian'").select("row_id", "price_band")
+    return _banded(Inputs(spark, sf_dir, SCORED)).where("model = 'NaiveMedian'").select("row_id", "price_band")
 
 
 @query(twin("""
 SELECT segment_type, segment_value, model, "rows", round(mae,4) AS mae, round(rmse,4) AS rmse FROM segments"""))
 def segment_metrics(spark, sf_dir):
     return rounded(metrics.segment_metrics(
-        _banded(Inputs(spark, sf_dir)), ["outcode_area", "propertyType", "price_band"]))
+        _banded(Inputs(spark, sf_dir, SCORED)), ["outcode_area", "propertyType", "price_band"]))
 
 
 @query(twin("""
 SELECT benchmark, test_rows_used, round(test_mae,4) AS test_mae, round(test_rmse,4) AS test_rmse FROM benchmark_rows"""))
 def external_benchmark(spark, sf_dir):
-    return rounded(metrics.benchmark_columns(Inputs(spark, sf_dir).rows_of("test"), fixtures.ESTIMATES))
+    return rounded(metrics.benchmark_columns(Inputs(spark, sf_dir, SCORED).rows_of("test"), fixtures.ESTIMATES))
 
 
 # ---- diagnostics -------------------------------------------------------
@@ -87,7 +87,7 @@ def external_benchmark(spark, sf_dir):
 SELECT row_id, model, round(y_true,6) AS y_true, round(y_pred,6) AS y_pred, round(y_true-y_pred,6) AS residual
 FROM test WHERE model = (SELECT model FROM board ORDER BY test_rmse, model LIMIT 1)"""))
 def residuals(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     rows = q.workspace.stage(q.predictions(), "predictions")
     best = diagnostics.best_model(metrics.leaderboard(metrics.regression_metrics(rows)))
     kept = diagnostics.residuals(rows, best).where("split = 'test' AND y_pred IS NOT NULL")
@@ -99,7 +99,7 @@ SELECT row_id, round(y_true,6) AS y_true, round(y_pred,6) AS y_pred FROM test WH
 ORDER BY md5(concat('42:', CAST(row_id AS VARCHAR))), row_id LIMIT 1000"""))
 def scatter_sample(spark, sf_dir):
     """The feature is the sample size: 1000 points for a plot."""
-    rows = Inputs(spark, sf_dir).predictions("test").where(
+    rows = Inputs(spark, sf_dir, SCORED).predictions("test").where(
         (F.col("model") == DRAWN_MODEL) & F.col("y_pred").isNotNull())
     return rounded(diagnostics.hash_sample(rows.select("row_id", "y_true", "y_pred"), 1000), 6)
 
@@ -108,7 +108,7 @@ def scatter_sample(spark, sf_dir):
 SELECT round(least(min(y_true), min(y_pred)), 6) AS axis_min, round(greatest(max(y_true), max(y_pred)), 6) AS axis_max
 FROM test WHERE model = 'saleEstimate_currentPrice'"""))
 def scatter_limits(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).predictions("test").where(
+    rows = Inputs(spark, sf_dir, SCORED).predictions("test").where(
         (F.col("model") == DRAWN_MODEL) & F.col("y_pred").isNotNull())
     return rounded(diagnostics.axis_limits(rows), 6)
 
@@ -120,7 +120,7 @@ FROM range(0, 60) AS r(i) CROSS JOIN lg LEFT JOIN b ON b.bin = i GROUP BY i, lo,
     "lg AS (SELECT min(v) AS lo, max(v) AS hi FROM x)",
     "b AS (SELECT least(CAST(floor((v - lo)/((hi-lo)/60)) AS BIGINT), 59) AS bin FROM x CROSS JOIN lg)"))
 def residual_hist(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     return rounded(diagnostics.residual_histogram(q.predictions("test"), DRAWN_MODEL))
 
 
@@ -137,17 +137,17 @@ def _binned(q: Inputs, edges):
 SELECT CAST(l.k AS INTEGER) AS bin_index, round(l.edge, 6) AS edge_left, round(r.edge, 6) AS edge_right
 FROM edge l JOIN edge r ON r.k = l.k + 1"""))
 def bin_edges(spark, sf_dir):
-    return rounded(bands.bin_edges_table(spark, _edges(Inputs(spark, sf_dir), leaf_rows=500)), 6)
+    return rounded(bands.bin_edges_table(spark, _edges(Inputs(spark, sf_dir, KEYS), leaf_rows=500)), 6)
 
 
 @query(twin("SELECT row_id, true_bin, pred_bin FROM binned"))
 def bin_assign(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     return _binned(q, _edges(q)).select("row_id", "true_bin", "pred_bin")
 
 
 def _cells(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     edges = _edges(q)
     n_bins = len(edges) - 1
     return diagnostics.confusion(_binned(q, edges), n_bins), n_bins
@@ -206,7 +206,7 @@ SELECT 'mainline' AS track, model AS name, round(test_rmse,4) AS test_rmse, roun
 UNION ALL SELECT 'benchmark', benchmark, round(test_rmse,4), round(test_mae,4) FROM be
 UNION ALL SELECT 'assisted', model, round(test_rmse,4), round(test_mae,4) FROM ba"""))
 def gov_best(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), "results", "benchmark", "assisted")
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), "results", "benchmark", "assisted")
     return rounded(governance.best_per_track(spark, governance.read_bests(tracks)))
 
 
@@ -217,7 +217,7 @@ SELECT round(bm.test_rmse,4) AS mainline_best_rmse, round(bm.test_mae,4) AS main
        CASE WHEN ba.test_rmse < bm.test_rmse THEN 'assisted' ELSE 'mainline' END AS preferred_track_rmse
 FROM bm CROSS JOIN be CROSS JOIN ba"""))
 def gov_track_comparison(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), "results", "benchmark", "assisted")
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), "results", "benchmark", "assisted")
     return rounded(governance.track_comparison(spark, governance.read_bests(tracks)))
 
 
@@ -234,7 +234,7 @@ _DECISION = """decided AS (
 SELECT round(p,4) AS best_primary_model_rmse, round(e,4) AS best_external_benchmark_rmse, round(a,4) AS best_assisted_model_rmse,
        round(p-e,4) AS delta_rmse, recommendation, governance_recommendation FROM decided""", _DECISION))
 def gov_decision(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), "results", "benchmark", "assisted")
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), "results", "benchmark", "assisted")
     return rounded(governance.decision(spark, governance.read_bests(tracks)))
 
 
@@ -248,7 +248,7 @@ _GATES = """gates AS (
 
 @query(twin("SELECT gate, round(value,4) AS value, threshold, passed FROM gates", _GATES))
 def gov_gates(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), *_ALL)
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), *_ALL)
     return rounded(governance.release_gates(spark, tracks, governance.read_bests(tracks), LOOSE))
 
 
@@ -256,7 +256,7 @@ def gov_gates(spark, sf_dir):
 SELECT bm.model, round(1.05*bm.test_rmse,4) AS threshold, (SELECT count(*) FROM critical) AS failing,
        (SELECT count(*) FROM critical) = 0 AS passed FROM bm"""))
 def gov_segment_gate(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), "results", "segments")
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), "results", "segments")
     best = governance.read_bests(tracks).primary
     return rounded(governance.segment_gate(tracks.segments, best["model"], best["test_rmse"], LOOSE))
 
@@ -271,7 +271,7 @@ _WORST = """worst AS (
 
 @query(twin("SELECT segment_type, segment_value, \"rows\", round(rmse,4) AS rmse, status, action_owner, mitigation_plan FROM worst", _WORST))
 def gov_blockers(spark, sf_dir):
-    tracks = _tracks(Inputs(spark, sf_dir), "results", "segments")
+    tracks = _tracks(Inputs(spark, sf_dir, SCORED), "results", "segments")
     best = governance.read_bests(tracks).primary
     return rounded(governance.blocker_actions(tracks.segments, best["model"], best["test_rmse"], LOOSE))
 
@@ -280,7 +280,7 @@ def gov_blockers(spark, sf_dir):
 SELECT model_family, count(*) AS folds, round(max(rmse_mean),4) AS rmse_mean, round(max(rmse_std),4) AS rmse_std, round(max(cv_pct),4) AS cv_pct
 FROM stability GROUP BY model_family"""))
 def gov_stability(spark, sf_dir):
-    return rounded(governance.stability_summary(Inputs(spark, sf_dir).fold_metrics()))
+    return rounded(governance.stability_summary(Inputs(spark, sf_dir, KEYS).fold_metrics()))
 
 
 def _fact_rows(source: str, section: str, facts, prefix: str = "") -> str:
@@ -309,10 +309,10 @@ def _fact_rows(source: str, section: str, facts, prefix: str = "") -> str:
     """decided_named AS (SELECT p AS best_primary_model_rmse, e AS best_external_benchmark_rmse, p - e AS delta_rmse,
   recommendation, governance_recommendation FROM decided)"""))
 def report_facts(spark, sf_dir):
-    return governance.report_facts(spark, _tracks(Inputs(spark, sf_dir), *_ALL), LOOSE)
+    return governance.report_facts(spark, _tracks(Inputs(spark, sf_dir, SCORED), *_ALL), LOOSE)
 
 
 @query(twin("""
 SELECT fold, arg_min(model_family, rmse) AS winner FROM fold_metrics GROUP BY fold"""))
 def wf_fold_winner(spark, sf_dir):
-    return walkforward.fold_winners(Inputs(spark, sf_dir).fold_metrics())
+    return walkforward.fold_winners(Inputs(spark, sf_dir, KEYS).fold_metrics())

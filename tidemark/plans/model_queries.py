@@ -12,7 +12,7 @@ from tidemark.operators.metrics import leaderboard, regression_metrics
 from tidemark.operators.prep import fit_preprocessor
 from tidemark.operators.temporal import walk_forward_folds
 from tidemark.plans import fixtures
-from tidemark.plans.inputs import Inputs
+from tidemark.plans.inputs import KEYS, SCORED, Inputs
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
 
@@ -31,14 +31,14 @@ SELECT split, {_BY_SPLIT} FROM (
   SELECT split, history_price AS y, (SELECT median(history_price) FROM train) AS p FROM sp) s GROUP BY split"""))
 def model_naive(spark, sf_dir):
     """Flagship: clean, split by time, fit the naive median on train, judge."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, KEYS)
     rows = q.split.withColumnRenamed("history_price", "y_true")
     model = learners.fit_naive_median(rows.where(q.bounds.rows_of("train")))
     return rounded(regression_metrics(learners.score(model, rows), by=("split",)))
 
 
 def _mainline_matrix(q: Inputs) -> compare.Matrix:
-    return prepare_matrix(q.clean, q.bounds, policy.mainline_policy(q.clean.schema))
+    return prepare_matrix(q.clean, q.bounds, policy.mainline_policy(q.clean.schema), rows=q.size)
 
 
 def _compared(q: Inputs, *models: learners.Learner):
@@ -87,8 +87,8 @@ _ONE_FEATURE = (
 
 
 def _single_feature(spark, sf_dir, learner: learners.Learner, digits: int):
-    q = Inputs(spark, sf_dir)
-    matrix = prepare_matrix(q.clean, q.bounds, policy.FeatureSpec(("bedrooms",), ()))
+    q = Inputs(spark, sf_dir, (*KEYS, "bedrooms"))
+    matrix = prepare_matrix(q.clean, q.bounds, policy.FeatureSpec(("bedrooms",), ()), rows=q.size)
     model = learner.fit(matrix.of("train"))
     scored = learners.score(model, matrix.of("val", "test")).select(
         "row_id", F.round("y_pred", digits).alias("y_pred"))
@@ -118,7 +118,7 @@ FROM (SELECT row_id, round(history_price, 6) AS y FROM sp) s
 CROSS JOIN (SELECT avg(round(history_price, 6)) AS mu, stddev_pop(round(history_price, 6)) AS sd FROM train) f"""))
 def target_transform(spark, sf_dir):
     """Both maps and their inverses, which must give the target back."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, KEYS)
     rows = q.split.select("row_id", "split", F.round("history_price", 6).alias("y_true"))
     maps = {k: target.fit_target_map(rows.where("split = 'train'"), k) for k in ("standard", "log")}
     y = F.col("y_true")
@@ -135,7 +135,7 @@ CROSS JOIN (SELECT min(ln(1 + history_price)) - 0.5 AS lo, max(ln(1 + history_pr
 WHERE pred_log IS NOT NULL"""))
 def log_clip(spark, sf_dir):
     """Exaggerated log predictions are held to the padded train range."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, (*KEYS, "saleEstimate_upperPrice"))
     train = q.rows_of("train").withColumnRenamed("history_price", "y_true")
     wild = q.rows_of("val", "test").select(
         "row_id", (2 * F.log1p("saleEstimate_upperPrice") - 11).alias("pred_log")).where("pred_log IS NOT NULL")
@@ -149,8 +149,8 @@ SELECT row_id, round(100 + 2*(bedrooms-mb)/sb - 3*(bathrooms-ma)/sa, 6) AS y_pre
 WHERE split <> 'train'"""))
 def score_batches(spark, sf_dir):
     """A model from outside Spark, scored in Arrow batches."""
-    q = Inputs(spark, sf_dir)
-    prep = fit_preprocessor(q.rows_of("train"), policy.FeatureSpec(("bedrooms", "bathrooms"), ()))
+    q = Inputs(spark, sf_dir, (*KEYS, "bedrooms", "bathrooms"))
+    prep = fit_preprocessor(q.rows_of("train"), policy.FeatureSpec(("bedrooms", "bathrooms"), ()), rows=q.size)
 
     def make_predict():
         weights = np.array([2.0, -3.0])
@@ -164,7 +164,7 @@ def score_batches(spark, sf_dir):
 def assisted_eval(spark, sf_dir):
     """The same learners on the matrix that includes vendor estimates."""
     q = Inputs(spark, sf_dir)
-    matrix = prepare_matrix(q.clean, q.bounds, policy.assisted_policy(q.clean.schema))
+    matrix = prepare_matrix(q.clean, q.bounds, policy.assisted_policy(q.clean.schema), rows=q.size)
     found = compare.compare_models(matrix, [
         learners.boosted_trees("AssistedHistGBR", **SMALL_TREES),
         learners.random_forest("AssistedRandomForest", **SMALL_FOREST)])
@@ -203,7 +203,7 @@ FROM range(0, 500) AS t(i) JOIN (
 ON r.rk = (i * (n - 1)) // (least(500, n) - 1) WHERE i < least(500, n)"""))
 def even_sample(spark, sf_dir):
     """The feature is the sample size: 500 evenly spaced validation rows."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, KEYS)
     rows = q.rows_of("val").select("row_id", "history_price")
     return rounded(importance.even_sample(rows, q.workspace, n=500), 6)
 
@@ -232,7 +232,7 @@ SELECT {_BOARD} FROM (
   SELECT * REPLACE ('VendorEstimate' AS model) FROM (
     SELECT * FROM board WHERE model LIKE 'saleEstimate%' ORDER BY test_rmse, model LIMIT 1) b) u"""))
 def best_of_family(spark, sf_dir):
-    board = leaderboard(regression_metrics(Inputs(spark, sf_dir).predictions()))
+    board = leaderboard(regression_metrics(Inputs(spark, sf_dir, SCORED).predictions()))
     return rounded(compare.best_of_family(board, dict.fromkeys(fixtures.ESTIMATES, "VendorEstimate")))
 
 
@@ -241,7 +241,7 @@ _FOLD_COLUMNS = "fold, model_family, train_rows, val_rows, round(rmse,4) AS rmse
 
 @query(twin(f"SELECT {_FOLD_COLUMNS} FROM fold_metrics WHERE train_rows >= 1000 AND val_rows >= 1000"))
 def wf_eval(spark, sf_dir):
-    return rounded(Inputs(spark, sf_dir).fold_metrics())
+    return rounded(Inputs(spark, sf_dir, KEYS).fold_metrics())
 
 
 @query()
@@ -257,7 +257,7 @@ def wf_forest(spark, sf_dir):
 @query(twin(f"""
 SELECT {_FOLD_COLUMNS}, round(rmse_mean,4) AS rmse_mean, round(rmse_std,4) AS rmse_std, round(cv_pct,4) AS cv_pct FROM stability"""))
 def wf_stability(spark, sf_dir):
-    return rounded(walkforward.family_stability(Inputs(spark, sf_dir).fold_metrics()))
+    return rounded(walkforward.family_stability(Inputs(spark, sf_dir, KEYS).fold_metrics()))
 
 
 @query(twin("""
@@ -265,7 +265,7 @@ SELECT f.model_family, count(w.fold) AS folds_won FROM (SELECT DISTINCT model_fa
 LEFT JOIN (SELECT fold, model_family, row_number() OVER (PARTITION BY fold ORDER BY rmse, model_family) AS rn FROM fold_metrics) w
 ON w.model_family = f.model_family AND w.rn = 1 GROUP BY f.model_family"""))
 def wf_winner(spark, sf_dir):
-    return walkforward.folds_won(Inputs(spark, sf_dir).fold_metrics())
+    return walkforward.folds_won(Inputs(spark, sf_dir, KEYS).fold_metrics())
 
 
 # The replay carries the best value so far row by row, as a training loop does.
@@ -303,7 +303,7 @@ SELECT 'history_price' AS column_name, round((SELECT median(history_price) FROM
 UNION ALL SELECT 'rate', round((SELECT median(history_price / bedrooms) FROM train), 4)"""))
 def train_medians(spark, sf_dir):
     """Medians by distributed selection, without the one-task value map."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, (*KEYS, "bedrooms"))
     train = q.rows_of("train").select("history_price", (F.col("history_price") / F.col("bedrooms")).alias("rate"))
     found = exact_medians(train, ["history_price", "rate"], builtin_cells=0, leaf_rows=500)
     rows = [("history_price", round(found["history_price"], 6)), ("rate", round(found["rate"], 4))]

@@ -9,7 +9,7 @@ from tidemark.functions import features
 from tidemark.operators import clean, policy, prep, profile, temporal
 from tidemark.operators.metrics import regression_metrics
 from tidemark.plans import fixtures
-from tidemark.plans.inputs import Inputs
+from tidemark.plans.inputs import KEYS, SCORED, Inputs
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
 from tidemark.sources import tables, upserts
@@ -45,7 +45,7 @@ def src_optional(spark, sf_dir):
 @query(twin("""
 SELECT row_id, history_date, round(history_price, 6) AS history_price, total_rooms, outcode_area FROM clean"""))
 def sink_roundtrip(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, (*KEYS, "outcode", "bedrooms", "bathrooms", "livingRooms"))
     tables.write_table(q.clean, q.workspace.root, "clean")
     back = tables.read_optional(spark, q.workspace.root, "clean")
     return rounded(back.select("row_id", "history_date", "history_price", "total_rooms", "outcode_area"), 6)
@@ -56,7 +56,7 @@ SELECT history_year, count(*) AS n_rows, round(sum(history_price), 2) AS total_p
 FROM clean WHERE history_year >= 1998 GROUP BY history_year"""))
 def write_clean(spark, sf_dir):
     """Year-partitioned clean table; the read prunes to the years it asks for."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, KEYS)
     path = tables.write_clean(q.clean, q.workspace.path("clean-by-year"))
     years = spark.read.parquet(path).where("history_year >= 1998")
     return rounded(years.groupBy("history_year").agg(
@@ -70,7 +70,7 @@ UNION ALL
 SELECT model, n_rows, round(rmse, 4) FROM metrics
 WHERE split = 'val' AND model IN ('saleEstimate_currentPrice', 'saleEstimate_upperPrice')"""))
 def upsert_rows(spark, sf_dir):
-    scores = regression_metrics(Inputs(spark, sf_dir).predictions()).select("model", "split", "n_rows", "rmse")
+    scores = regression_metrics(Inputs(spark, sf_dir, SCORED).predictions()).select("model", "split", "n_rows", "rmse")
     base = scores.where("split = 'test' AND model IN ('NaiveMedian', 'saleEstimate_lowerPrice', 'saleEstimate_currentPrice')")
     new = scores.where("split = 'val' AND model IN ('saleEstimate_currentPrice', 'saleEstimate_upperPrice')")
     return rounded(upserts.upsert_rows(base, new).drop("split"))
@@ -83,7 +83,7 @@ UNION ALL
 SELECT row_id, 'saleEstimate_currentPrice', round(y_true, 6), round(y_pred, 6) FROM preds
 WHERE split = 'test' AND model = 'RoomRate'"""))
 def upsert_predictions(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     rows = q.workspace.stage(q.predictions("test").select("row_id", "model", "y_true", "y_pred"), "predictions")
     base = rows.where("model IN ('NaiveMedian', 'saleEstimate_lowerPrice', 'saleEstimate_currentPrice')")
     new = rows.where("model = 'RoomRate'").withColumn("model", F.lit("saleEstimate_currentPrice"))
@@ -94,7 +94,7 @@ def upsert_predictions(spark, sf_dir):
 SELECT row_id, model, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred FROM preds WHERE model = 'RoomRate'"""))
 def upsert_predictions_stale(spark, sf_dir):
     """The stored predictions cover other rows, so none of them survives."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, SCORED)
     rows = q.workspace.stage(q.predictions().select("row_id", "split", "model", "y_true", "y_pred"), "predictions")
     base = rows.where("split = 'test' AND model IN ('NaiveMedian', 'saleEstimate_lowerPrice')").drop("split")
     return rounded(upserts.upsert_predictions(base, rows.where("model = 'RoomRate'").drop("split")), 6)
@@ -168,7 +168,7 @@ def profile_log_hist(spark, sf_dir):
 SELECT split, count(*) AS n_rows, round(100*count(*)/CAST((SELECT count(*) FROM sp) AS DOUBLE), 2) AS row_pct
 FROM sp GROUP BY split"""))
 def profile_split_share(spark, sf_dir):
-    return profile.split_profile(Inputs(spark, sf_dir).split)
+    return profile.split_profile(Inputs(spark, sf_dir, KEYS).split)
 
 
 # ---- cleaning ----------------------------------------------------------
@@ -194,7 +194,7 @@ def clean_dedup(spark, sf_dir):
 
 @query(twin("SELECT row_id, round(history_price, 6) AS history_price FROM clean"))
 def clean_clip_quantile(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).deduplicated
+    rows = Inputs(spark, sf_dir, KEYS).deduplicated
     return rounded(clean.apply_clip(rows, clean.fit_quantile_clip(rows)).select("row_id", "history_price"), 6)
 
 
@@ -202,7 +202,7 @@ def clean_clip_quantile(spark, sf_dir):
 SELECT row_id, round(least(greatest(history_price, q1 - 1.5*(q3-q1)), q3 + 1.5*(q3-q1)), 6) AS history_price
 FROM dd CROSS JOIN (SELECT quantile_cont(history_price, 0.25) AS q1, quantile_cont(history_price, 0.75) AS q3 FROM dd) q"""))
 def clean_clip_iqr(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).deduplicated
+    rows = Inputs(spark, sf_dir, KEYS).deduplicated
     return rounded(clean.apply_clip(rows, clean.fit_iqr_clip(rows)).select("row_id", "history_price"), 6)
 
 
@@ -213,7 +213,7 @@ FROM dd CROSS JOIN cuts CROSS JOIN tq""",
   FROM dd CROSS JOIN cuts WHERE epoch_us(history_date) <= c1)"""))
 def clean_clip_train_only(spark, sf_dir):
     """Leak-safe variant: limits from train rows, evaluation labels untouched."""
-    rows = Inputs(spark, sf_dir).deduplicated
+    rows = Inputs(spark, sf_dir, KEYS).deduplicated
     train = temporal.fit_calendar_split(rows).rows_of("train")
     clipped = clean.apply_clip(rows, clean.fit_quantile_clip(rows.where(train)), where=train)
     return rounded(clipped.select("row_id", "history_price"), 6)
@@ -234,7 +234,7 @@ FROM (SELECT policy, y, (SELECT median(t.y) FROM policies t WHERE t.policy = pol
           CROSS JOIN (SELECT quantile_cont(history_price, 0.25) AS q1, quantile_cont(history_price, 0.75) AS q3 FROM dd) q) u
   CROSS JOIN cuts)"""))
 def clean_policy_compare(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).deduplicated
+    rows = Inputs(spark, sf_dir, KEYS).deduplicated
     policies = {"none": clean.NO_CLIP, "quantile": clean.fit_quantile_clip(rows), "iqr": clean.fit_iqr_clip(rows)}
     return rounded(clean.compare_clip_policies(rows, policies, temporal.fit_calendar_split(rows)))
 
@@ -308,7 +308,7 @@ def policy_assisted(spark, sf_dir):
 
 @query(twin("SELECT row_id, split FROM sp"))
 def split_calendar(spark, sf_dir):
-    return Inputs(spark, sf_dir).split.select("row_id", "split")
+    return Inputs(spark, sf_dir, KEYS).split.select("row_id", "split")
 
 
 @query(twin("""
@@ -318,26 +318,26 @@ SELECT *, train_max <= val_min AND val_max <= test_min AS pure FROM (
          min(CASE WHEN split='test' THEN history_date END) AS test_min, max(CASE WHEN split='test' THEN history_date END) AS test_max
   FROM sp) r"""))
 def split_purity(spark, sf_dir):
-    return temporal.split_ranges(Inputs(spark, sf_dir).split)
+    return temporal.split_ranges(Inputs(spark, sf_dir, KEYS).split)
 
 
 @query(twin("""
 SELECT make_timestamp(lo) AS t_min, make_timestamp(hi) AS t_max, make_timestamp(c1) AS cut_train_end, make_timestamp(c2) AS cut_val_end
 FROM cuts"""))
 def split_bounds(spark, sf_dir):
-    return temporal.bounds_table(spark, Inputs(spark, sf_dir).bounds)
+    return temporal.bounds_table(spark, Inputs(spark, sf_dir, KEYS).bounds)
 
 
 @query(twin("SELECT fold, val_start, val_end, label FROM labelled"))
 def wf_folds(spark, sf_dir):
-    return temporal.folds_table(spark, temporal.walk_forward_folds(Inputs(spark, sf_dir).clean))
+    return temporal.folds_table(spark, temporal.walk_forward_folds(Inputs(spark, sf_dir, KEYS).clean))
 
 
 @query(twin("""
 SELECT row_id, fold, CASE WHEN history_date < val_start THEN 'train' ELSE 'val' END AS role
 FROM clean JOIN folds ON history_date < val_end"""))
 def wf_members(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).clean
+    rows = Inputs(spark, sf_dir, KEYS).clean
     return temporal.fold_members(rows.select("row_id", "history_date"), temporal.walk_forward_folds(rows)).drop("history_date")
 
 
@@ -348,7 +348,7 @@ SELECT fold, label, train_rows, val_rows FROM (
   FROM labelled JOIN clean ON history_date < val_end GROUP BY fold, label) s
 WHERE train_rows >= 1000 AND val_rows >= 1000"""))
 def wf_support(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).clean
+    rows = Inputs(spark, sf_dir, KEYS).clean
     return temporal.fold_support(rows, temporal.walk_forward_folds(rows))
 
 
@@ -360,8 +360,8 @@ _IMPUTED = ("floorAreaSqM", "saleEstimate_lowerPrice", "saleEstimate_currentPric
 @query(twin("SELECT row_id, " + ", ".join(
     f"round(coalesce({c}, (SELECT median({c}) FROM train)), 6) AS {c}" for c in _IMPUTED) + " FROM clean"))
 def prep_median_impute(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
-    medians = prep.fit_medians(q.rows_of("train"), _IMPUTED)
+    q = Inputs(spark, sf_dir, (*KEYS, *_IMPUTED))
+    medians = prep.fit_medians(q.rows_of("train"), _IMPUTED, rows=q.size)
     return rounded(prep.impute(q.clean, medians).select("row_id", *_IMPUTED), 6)
 
 
@@ -376,7 +376,7 @@ _SCALED = ("bedrooms", "floorAreaSqM", "geo_radial", "living_bed_ratio")
 def prep_standard_scale(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     train = q.rows_of("train")
-    medians = prep.fit_medians(train, _SCALED)
+    medians = prep.fit_medians(train, _SCALED, rows=q.size)
     scaled = prep.standardize(prep.impute(q.clean, medians), prep.fit_scaler(train, medians))
     return rounded(scaled.select("row_id", *_SCALED), 6)
 
@@ -387,14 +387,14 @@ _MODE = "(SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY coun
 @query(twin("SELECT row_id, " + ", ".join(
     f"coalesce({c}, {_MODE.format(c=c)}) AS {c}" for c in ("propertyType", "outcode")) + " FROM clean"))
 def prep_mode_impute(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, (*KEYS, "outcode", "propertyType"))
     modes, _ = prep.fit_categories(q.rows_of("train"), ["propertyType", "outcode"])
     filled = [F.coalesce(c, F.lit(m)).alias(c) for c, m in modes.items()]
     return q.clean.select("row_id", *filled)
 
 
 def _fitted(q: Inputs, spec: policy.FeatureSpec) -> prep.Preprocessor:
-    return prep.fit_preprocessor(q.rows_of("train"), spec)
+    return prep.fit_preprocessor(q.rows_of("train"), spec, rows=q.size)
 
 
 @query(twin(f"""
@@ -407,7 +407,7 @@ SELECT row_id, concat('outcode_', v), CAST(1 AS DOUBLE) FROM (
 WHERE v IN (SELECT outcode FROM train)"""))
 def prep_onehot(spark, sf_dir):
     """Non-zero one-hot cells; a value unseen in train gives none."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, (*KEYS, "outcode", "propertyType"))
     fitted = _fitted(q, policy.FeatureSpec((), ("propertyType", "outcode")))
     cells = F.arrays_zip(F.array(*[F.lit(n) for n in fitted.feature_names]).alias("category"),
                          vector_to_array("features").alias("value"))

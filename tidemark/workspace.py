@@ -12,7 +12,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -48,15 +49,22 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or f"{shared_root(spark)}/run-{uuid.uuid4().hex}"
+        self.rows: dict[str, int] = {}
         self._sequence = 0
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the table that reads it back."""
+        """Write ``df`` once and return the table that reads it back.
+
+        The write counts its rows on the way; ``rows[name]`` then bounds the
+        size of everything derived from the table by filtering.
+        """
         self._sequence += 1
         target = self.path(f"{self._sequence:03d}-{name}")
-        df.write.parquet(target)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+        self.rows[name] = seen.get["rows"]
         # Passing the schema saves the footer-reading inference job.
         return self.spark.read.schema(df.schema).parquet(target)
