@@ -162,6 +162,8 @@ def order_statistics(
 ) -> dict[str, dict[int, float]]:
     """Exact 0-based order statistics of numeric columns, NULL and NaN left out."""
     columns = list(ranks)
+    if not columns:
+        return {}
     df = _numbers(df, columns)
     found: dict[int, dict[int, float]] = defaultdict(dict)
     spans = _long(df, range(len(columns))).groupBy("k").agg(
