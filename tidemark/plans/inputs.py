@@ -76,14 +76,18 @@ class Inputs:
             keep = keep | self.bounds.rows_of(s)
         return self.split.where(keep)
 
+    @cached_property
+    def medians(self) -> dict[str, float | None]:
+        """Train medians of the price and of the price per room."""
+        train = self.rows_of("train").select(
+            "history_price", (F.col("history_price") / F.col("bedrooms")).alias("rate"))
+        return exact_medians(train, ["history_price", "rate"], rows=self.size)
+
     def predictions(self, *splits: str) -> DataFrame:
         """Untrained predictions: two train medians and the vendor columns."""
-        train = self.clean.where(self.bounds.rows_of("train")).select(
-            "history_price", (F.col("history_price") / F.col("bedrooms")).alias("rate"))
-        fitted = exact_medians(train, ["history_price", "rate"], rows=self.size)
         scores = {
-            "NaiveMedian": F.lit(fitted["history_price"]),
-            "RoomRate": F.col("bedrooms") * F.lit(fitted["rate"]),
+            "NaiveMedian": F.lit(self.medians["history_price"]),
+            "RoomRate": F.col("bedrooms") * F.lit(self.medians["rate"]),
             **{c: F.col(c) for c in fixtures.ESTIMATES},
         }
         cells = [F.struct(F.lit(n).alias("model"), p.alias("y_pred")) for n, p in scores.items()]
