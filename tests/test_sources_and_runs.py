@@ -71,6 +71,21 @@ def test_clean_table_prunes_by_year(spark, sales, tmp_path):
     assert df.count() == sales.count()
 
 
+def test_split_and_fold_filters_prune_years(spark, sales, tmp_path):
+    from tidemark.functions.features import with_calendar
+    from tidemark.operators import temporal
+
+    df = spark.read.parquet(tables.write_clean(with_calendar(sales), str(tmp_path / "clean")))
+    bounds, folds = temporal.fit_calendar_split(df), temporal.walk_forward_folds(df)
+    filters = [(bounds.rows_of(s), bounds.rows_of(s, year="history_year")) for s in temporal.SPLITS]
+    filters += [(f.val_rows(), f.val_rows(year="history_year")) for f in folds]
+    filters += [(f.train_rows(), f.train_rows(year="history_year")) for f in folds]
+    for plain, pruned in filters:
+        rows = df.where(pruned)
+        assert df.where(plain).count() == rows.count()
+        assert "PartitionFilters: [isnotnull(history_year" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_rows(spark):
     base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, test_rmse double")
     new = spark.createDataFrame([("b", 0.5, 7)], "model string, test_rmse double, extra int")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,20 +99,33 @@ def _ends(opened: Sequence[_Open]) -> dict[int, list[float]]:
     return _cut_points(ends)
 
 
-def _narrow(df: DataFrame, opened: Sequence[_Open], found: dict[int, dict[int, float]]) -> list[_Open]:
-    """One round: propose cuts, count cells, keep the cells that hold ranks."""
-    grid = max(2, min(512, CUT_BUDGET // len(opened)))
-    probs = [i / grid for i in range(grid + 1)]
+def _grid(n_open: int) -> list[float]:
+    """Probabilities at which each open interval is cut in the next round."""
+    parts = max(2, min(512, CUT_BUDGET // n_open))
+    return [i / parts for i in range(parts + 1)]
+
+
+def _sketch(probs: Sequence[float]):
+    return F.percentile_approx("v", list(probs), 4 * len(probs)).alias("cuts")
+
+
+def _propose(df: DataFrame, opened: Sequence[_Open]) -> dict[int, list[float]]:
+    """Approximate quantiles inside each open interval, per column."""
     ends = _ends(opened)
-    sketches = (
-        _inside(_binned(df, ends), opened, ends)
-        .groupBy("k", "b").agg(F.percentile_approx("v", probs, 4 * grid).alias("cuts")).collect())
-    proposed = {k: set(v) for k, v in ends.items()}
-    for row in sketches:
-        for x in row.cuts:
-            # [x, next(x)) is a cell of its own: copies of x are settled at once.
-            proposed[row.k] |= {x, _after(x)}
-    cuts = _cut_points(proposed)
+    inside = _inside(_binned(df, ends), opened, ends)
+    proposed = {k: list(v) for k, v in ends.items()}
+    for row in inside.groupBy("k", "b").agg(_sketch(_grid(len(opened)))).collect():
+        proposed[row.k] += row.cuts
+    return proposed
+
+
+def _narrow(
+    df: DataFrame, opened: Sequence[_Open], proposed: Mapping[int, Sequence[float]],
+    found: dict[int, dict[int, float]],
+) -> list[_Open]:
+    """Count the cells between the proposed cuts; keep those that hold ranks."""
+    # [x, next(x)) is a cell of its own: copies of x are settled at once.
+    cuts = _cut_points({k: [y for x in xs for y in (x, _after(x))] for k, xs in proposed.items()})
     cells = defaultdict(list)
     for row in _binned(df, cuts).groupBy("k", "b").agg(
             F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
@@ -157,30 +170,42 @@ def _leaf(df: DataFrame, opened: Sequence[_Open], found: dict[int, dict[int, flo
             found[o.column][rank] = members[int(np.searchsorted(last, rank, side="right"))][0]
 
 
-def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], *, leaf_rows: int = LEAF_ROWS
-) -> dict[str, dict[int, float]]:
-    """Exact 0-based order statistics of numeric columns, NULL and NaN left out."""
-    columns = list(ranks)
-    if not columns:
-        return {}
+def _select(
+    df: DataFrame, columns: Sequence[str], wanted: Callable[[str, int], Iterable[int]], leaf_rows: int
+) -> tuple[dict[str, dict[int, float]], dict[str, int]]:
+    """Order statistics at ``wanted(column, count)``, and the counts.
+
+    One pass counts and sketches, one counts cells; every further round is
+    two more passes over a few cells in a thousand.
+    """
     df = _numbers(df, columns)
     found: dict[int, dict[int, float]] = defaultdict(dict)
-    spans = _long(df, range(len(columns))).groupBy("k").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    opened = []
-    for row in spans:
-        wanted = tuple(sorted(set(ranks[columns[row.k]])))
-        if wanted and not 0 <= wanted[0] <= wanted[-1] < row.n:
-            raise ValueError(f"rank out of range for {columns[row.k]}: {row.n} values")
-        if wanted:
-            opened.append(_Open(row.k, row.lo, row.hi, 0, row.n, wanted))
+    first = _long(df, range(len(columns))).groupBy("k").agg(
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), _sketch(_grid(len(columns))))
+    opened, proposed, counts = [], {}, dict.fromkeys(columns, 0)
+    for row in first.collect():
+        name = columns[row.k]
+        counts[name] = row.n
+        ranks = tuple(sorted(set(wanted(name, row.n))))
+        if ranks and not 0 <= ranks[0] <= ranks[-1] < row.n:
+            raise ValueError(f"rank out of range for {name}: {row.n} values")
+        if ranks:
+            opened.append(_Open(row.k, row.lo, row.hi, 0, row.n, ranks))
+            proposed[row.k] = [row.lo, row.hi, *row.cuts]
     opened = _settle(opened, found)
     while opened and sum(o.rows for o in opened) > leaf_rows:
-        opened = _narrow(df, opened, found)
+        proposed = {k: proposed[k] for k in {o.column for o in opened}} if proposed else _propose(df, opened)
+        opened, proposed = _narrow(df, opened, proposed, found), {}
     if opened:
         _leaf(df, opened, found)
-    return {c: dict(found[i]) for i, c in enumerate(columns)}
+    return {c: dict(found[i]) for i, c in enumerate(columns)}, counts
+
+
+def order_statistics(
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], *, leaf_rows: int = LEAF_ROWS
+) -> dict[str, dict[int, float]]:
+    """Exact 0-based order statistics of numeric columns, NULL and NaN left out."""
+    return _select(df, list(ranks), lambda name, _: ranks[name], leaf_rows)[0] if ranks else {}
 
 
 def _linear(stats: Mapping[int, float], n: int, p: float) -> float:
@@ -215,17 +240,12 @@ def exact_quantiles(
         return {c: list(found[i]) if found[i] is not None else [None] * len(probs[c])
                 for i, c in enumerate(columns)}
 
-    numbers = _numbers(df, columns)
-    counts = numbers.agg(*[F.count(f"v{i}") for i in range(len(columns))]).first()
-    ranks = {
-        f"v{i}": [r for p in probs[c] for r in {math.floor(p * (counts[i] - 1)), math.ceil(p * (counts[i] - 1))}]
-        for i, c in enumerate(columns) if counts[i]
-    }
-    stats = order_statistics(numbers, ranks, leaf_rows=leaf_rows)
-    return {
-        c: [_linear(stats[f"v{i}"], counts[i], p) if counts[i] else None for p in probs[c]]
-        for i, c in enumerate(columns)
-    }
+    def wanted(name: str, n: int) -> list[int]:
+        positions = [p * (n - 1) for p in probs[name]]
+        return [r for x in positions for r in (math.floor(x), math.ceil(x))]
+
+    stats, counts = _select(df, columns, wanted, leaf_rows)
+    return {c: [_linear(stats[c], counts[c], p) if counts[c] else None for p in probs[c]] for c in columns}
 
 
 def approx_quantiles(
@@ -252,12 +272,11 @@ def averaged_inverted_cdf_edges(
     The split position i*n/parts is tested with integers, because n*q in
     floating point misses exact hits.
     """
-    n = _numbers(df, [column]).agg(F.count("v0")).first()[0]
-    if not n:
+    def pairs(n: int) -> list[tuple[int, int]]:
+        cuts = [divmod(i * n, parts) for i in range(parts + 1)]
+        return [(max(j - 1, 0), min(j, n - 1)) if rest == 0 else (j, j) for j, rest in cuts]
+
+    stats, counts = _select(df, [column], lambda _, n: [r for p in pairs(n) for r in p], leaf_rows)
+    if not counts[column]:
         raise ValueError(f"no values in {column}")
-    pairs = []
-    for i in range(parts + 1):
-        j, fraction = divmod(i * n, parts)
-        pairs.append((max(j - 1, 0), min(j, n - 1)) if fraction == 0 else (j, j))
-    stats = order_statistics(df, {column: [r for p in pairs for r in p]}, leaf_rows=leaf_rows)[column]
-    return [(stats[a] + stats[b]) / 2 for a, b in pairs]
+    return [(stats[column][a] + stats[column][b]) / 2 for a, b in pairs(counts[column])]

@@ -17,7 +17,7 @@ from tidemark.operators.learners import LABEL, Learner
 from tidemark.operators.metrics import leaderboard, regression_metrics, wide_results
 from tidemark.operators.policy import FeatureSpec
 from tidemark.operators.prep import Preprocessor, fit_preprocessor
-from tidemark.operators.temporal import SplitBounds, assign_split
+from tidemark.operators.temporal import SplitBounds, assign_split, year_column
 
 #: Row attributes carried along so that diagnostics need no join.
 ATTRIBUTES = ("history_date", "outcode_area", "propertyType")
@@ -48,7 +48,7 @@ def prepare_matrix(
     lost block is recomputed from the staged clean table.
     """
     split = assign_split(clean, bounds)
-    prep = fit_preprocessor(clean.where(bounds.rows_of("train")), spec, rows=rows)
+    prep = fit_preprocessor(clean.where(bounds.rows_of("train", year=year_column(clean))), spec, rows=rows)
     kept = [named(c) for c in attributes if c in clean.columns]
     prepared = prep.transform(split).select("row_id", "split", *kept, named(target).alias(LABEL), "features")
     return Matrix(prepared.persist(StorageLevel.MEMORY_AND_DISK), prep)

@@ -22,9 +22,8 @@ from tidemark.workspace import ensure_checkpoint_dir
 LABEL = "y_true"
 #: Widest matrix the one-pass normal equations accept.
 NORMAL_EQUATION_LIMIT = 4096
-#: Width guards of the boosted trees and of dense learners.
+#: Widest matrix for boosted trees.
 BOOSTING_MAX_DIM = 1000
-DENSE_MAX_DIM = 2200
 
 
 @dataclass(frozen=True)
@@ -92,15 +91,18 @@ def walk_forward_forest(name: str = "RandomForest", **params) -> Learner:
     return random_forest(name, **({"n_estimators": 350, "max_depth": 24, "min_samples_leaf": 3} | params))
 
 
+def feature_dim(df: DataFrame, features: str = "features") -> int:
+    """Width of an assembled vector column, from its metadata."""
+    return df.schema[features].metadata["ml_attr"]["num_attrs"]
+
+
 def _linear(train: DataFrame, reg: Callable[[float, float], tuple[float, float]], max_iter: int):
     """Fit with penalties given in label units.
 
     Spark penalises coefficients of the label divided by its deviation: the
     population one in the normal equations, the sample one in l-bfgs.
     """
-    dim = len(train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})) or None
-    dim = train.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", dim)
-    normal = dim is not None and dim <= NORMAL_EQUATION_LIMIT
+    normal = feature_dim(train) <= NORMAL_EQUATION_LIMIT
     n, sd = train.agg(F.count(LABEL), (F.stddev_pop if normal else F.stddev_samp)(LABEL)).first()
     ridge, lasso = reg(n, sd or 0.0)
     total = ridge + lasso
@@ -149,9 +151,5 @@ def score_foreign(
     2-d numpy batch to predictions.
     """
     predict = predict_batch_udf(
-        make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[_width(df, features)])
+        make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[feature_dim(df, features)]])
     return df.withColumn(output, predict(vector_to_array(features)))
-
-
-def _width(df: DataFrame, features: str) -> list[int]:
-    return [df.schema[features].metadata["ml_attr"]["num_attrs"]]

@@ -35,6 +35,19 @@ def _at(lo: datetime, hi: datetime, share: Fraction) -> datetime:
     return lo + round((hi - lo) // MICROSECOND * share) * MICROSECOND
 
 
+def _in_years(rows: Column, year: str | None, first: datetime | None, last: datetime | None) -> Column:
+    """The date predicate with the years it implies."""
+    if year is None:
+        return rows
+    if first is not None:
+        rows = rows & (named(year) >= first.year)
+    return rows if last is None else rows & (named(year) <= last.year)
+
+
+def year_column(df: DataFrame) -> str | None:
+    return "history_year" if "history_year" in df.columns else None
+
+
 @dataclass(frozen=True)
 class SplitBounds:
     """Train ends at ``cut_train_end``, validation at ``cut_val_end`` (both inclusive)."""
@@ -44,14 +57,18 @@ class SplitBounds:
     cut_train_end: datetime
     cut_val_end: datetime
 
-    def rows_of(self, split: str, date: str = DATE) -> Column:
-        """Date predicate of one split, made of literals so it is pushed down."""
+    def rows_of(self, split: str, date: str = DATE, year: str | None = None) -> Column:
+        """Date predicate of one split, made of literals so it is pushed down.
+
+        ``year`` names a column with the year of the date; a table partitioned
+        by it is then read only where the split has rows.
+        """
         d, train_end, val_end = named(date), instant(self.cut_train_end), instant(self.cut_val_end)
-        return {
-            "train": d <= train_end,
-            "val": (d > train_end) & (d <= val_end),
-            "test": d > val_end,
-        }[split]
+        if split == "train":
+            return _in_years(d <= train_end, year, None, self.cut_train_end)
+        if split == "val":
+            return _in_years((d > train_end) & (d <= val_end), year, self.cut_train_end, self.cut_val_end)
+        return _in_years(d > val_end, year, self.cut_val_end, None)
 
 
 def fit_calendar_split(
@@ -120,11 +137,12 @@ class Fold:
     def label(self) -> str:
         return f"fold_{self.fold}_{self.val_start.date()}_{self.val_end.date()}"
 
-    def train_rows(self, date: str = DATE) -> Column:
-        return named(date) < instant(self.val_start)
+    def train_rows(self, date: str = DATE, year: str | None = None) -> Column:
+        return _in_years(named(date) < instant(self.val_start), year, None, self.val_start)
 
-    def val_rows(self, date: str = DATE) -> Column:
-        return (named(date) >= instant(self.val_start)) & (named(date) < instant(self.val_end))
+    def val_rows(self, date: str = DATE, year: str | None = None) -> Column:
+        rows = (named(date) >= instant(self.val_start)) & (named(date) < instant(self.val_end))
+        return _in_years(rows, year, self.val_start, self.val_end)
 
 
 def walk_forward_folds(df: DataFrame, n: int = 4, date: str = DATE) -> list[Fold]:

@@ -15,7 +15,7 @@ from tidemark.operators.learners import LABEL, Learner
 from tidemark.operators.metrics import error_columns
 from tidemark.operators.policy import FeatureSpec
 from tidemark.operators.prep import fit_preprocessor
-from tidemark.operators.temporal import Fold, fold_support
+from tidemark.operators.temporal import Fold, fold_support, year_column
 
 #: Few small rows per fold and family.
 FOLD_SCHEMA = "fold string, model_family string, train_rows bigint, val_rows bigint, rmse double"
@@ -43,7 +43,8 @@ def walk_forward(
         if fold.fold not in supported:
             continue
         support = supported[fold.fold]
-        train, val = df.where(fold.train_rows()), df.where(fold.val_rows())
+        year = year_column(df)
+        train, val = df.where(fold.train_rows(year=year)), df.where(fold.val_rows(year=year))
         dim = 0
         if spec is not None:
             prep = fit_preprocessor(train, spec, rows=support["train_rows"])

@@ -87,6 +87,9 @@ class Run:
             self.save("split_bounds", bounds_table(self.spark, self._bounds))
         return self._bounds
 
+    def rows_of(self, split: str) -> DataFrame:
+        return self.clean.where(self.bounds.rows_of(split, year="history_year"))
+
     def save(self, name: str, table: DataFrame) -> DataFrame:
         """Write a result table and return it as read back, so it is computed once."""
         path = write_table(table, self.config.output, name)
@@ -123,7 +126,7 @@ def run_baseline(run: Run) -> None:
 
     test = predictions.where("split = 'test'")
     run.save("test_rmse_by_year", metrics.error_by_year(test))
-    edges = bands.fit_band_edges(run.clean.where(run.bounds.rows_of("test")), "history_price")
+    edges = bands.fit_band_edges(run.rows_of("test"), "history_price")
     run.save("segment_metrics", metrics.segment_metrics(
         bands.assign_bands(test, edges), SEGMENTS, config.segment_min_rows))
     _diagnostics(run, test, diagnostics.best_model(results))
@@ -161,7 +164,7 @@ def run_walk_forward(run: Run) -> None:
 
 
 def run_benchmark(run: Run) -> None:
-    test = run.clean.where(run.bounds.rows_of("test"))
+    test = run.rows_of("test")
     scored = run.save("external_benchmark", metrics.benchmark_columns(test, VENDOR_COLUMNS))
     if scored.isEmpty():
         raise ValueError("no benchmark column has enough rows")
