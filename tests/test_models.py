@@ -233,6 +233,12 @@ def test_loss_curves(matrix):
     curve = [r.loss for r in history.loss_curve(learners.boosted_trees(**TREES).fit(train), train).orderBy("iteration").collect()]
     assert len(curve) == 3 and curve == sorted(curve, reverse=True)
 
+    from pyspark.ml.regression import LinearRegression
+
+    linear = LinearRegression(labelCol="y_true", solver="l-bfgs", regParam=0.1, maxIter=5).fit(train)
+    losses = [r.loss for r in history.loss_curve(linear).orderBy("iteration").collect()]
+    assert len(losses) > 1 and losses == sorted(losses, reverse=True)
+
 
 # Published fold errors of two families.
 FOLDS = [

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.parsing import named
 
 #: Cells (rows x columns) up to which one ``percentile`` aggregate is used.
-BUILTIN_CELLS = 2_000_000
+BUILTIN_CELLS = 4_000_000
 #: Distinct values that may be resolved on the driver.
 LEAF_ROWS = 100_000
 #: Cut points proposed per round, over all intervals still open.

@@ -11,10 +11,11 @@ from tidemark.operators.compare import prepare_matrix
 from tidemark.operators.metrics import leaderboard, regression_metrics
 from tidemark.operators.prep import fit_preprocessor
 from tidemark.operators.temporal import walk_forward_folds
-from tidemark.plans import fixtures
+from tidemark.plans import fixtures, run
 from tidemark.plans.inputs import KEYS, SCORED, Inputs
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
+from tidemark.sources.tables import write_table
 
 # Small ensembles: the registered queries show the operators, not the best fit.
 SMALL_TREES = {"max_depth": 5, "max_iter": 8, "min_samples_leaf": 20, "max_bins": 64}
@@ -174,6 +175,27 @@ def assisted_eval(spark, sf_dir):
     return rounded(results)
 
 
+@query(twin("""
+SELECT 'HistGBR' AS model, concat('feature_dim=', 1 + count(DISTINCT propertyType), ' > 3') AS reason FROM train"""))
+def width_guard(spark, sf_dir):
+    """A learner that does not take so wide a matrix is skipped with a reason."""
+    q = Inputs(spark, sf_dir, (*KEYS, "bedrooms", "propertyType"))
+    matrix = prepare_matrix(q.clean, q.bounds, policy.FeatureSpec(("bedrooms",), ("propertyType",)), rows=q.size)
+    found = compare.compare_models(matrix, [learners.naive_median(), learners.boosted_trees(**SMALL_TREES, max_dim=3)])
+    matrix.release()
+    return compare.skipped_table(spark, found.skipped)
+
+
+@query(twin("""
+SELECT benchmark, test_rows_used, round(test_mae,4) AS test_mae, round(test_rmse,4) AS test_rmse FROM benchmark_rows"""))
+def run_benchmark_task(spark, sf_dir):
+    """One task of a whole run, from a text file to its result table."""
+    q = Inputs(spark, sf_dir, SCORED)
+    source = write_table(q.sales.drop("row_id"), q.workspace.root, "source", "csv")
+    written = run.evaluate(spark, run.RunConfig(source, q.workspace.path("out")), ["benchmark"])
+    return rounded(spark.read.parquet(written["external_benchmark"]))
+
+
 @query()
 def grid_search(spark, sf_dir):
     q = Inputs(spark, sf_dir)

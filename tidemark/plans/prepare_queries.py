@@ -12,7 +12,7 @@ from tidemark.plans import fixtures
 from tidemark.plans.inputs import KEYS, SCORED, Inputs
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
-from tidemark.sources import tables, upserts
+from tidemark.sources import records, tables, upserts
 
 # ---- sources and sinks -------------------------------------------------
 
@@ -63,6 +63,19 @@ def write_clean(spark, sf_dir):
         F.count("*").alias("n_rows"), F.sum("history_price").alias("total_price")), 2)
 
 
+@query(twin("""
+SELECT '2026-01-01T00-00-00Z' AS run_stamp, history_year, count(*) AS n_rows FROM clean GROUP BY history_year"""))
+def publish_snapshot(spark, sf_dir):
+    """A frozen copy of one result table; names that do not exist are skipped."""
+    q = Inputs(spark, sf_dir, KEYS)
+    stamp, frozen = "2026-01-01T00-00-00Z", q.workspace.path("frozen")
+    tables.write_table(q.clean.groupBy("history_year").agg(F.count("*").alias("n_rows")), q.workspace.root, "by_year")
+    names = records.publish_snapshot(spark, q.workspace.root, frozen, ["by_year", "not_there"], stamp)
+    copies = [
+        spark.read.parquet(f"{frozen}/run_stamp={stamp}/{n}").select(F.lit(stamp).alias("run_stamp"), "*") for n in names]
+    return profile.union_all(copies)
+
+
 @query(twin("""
 SELECT model, n_rows, round(rmse, 4) AS rmse FROM metrics
 WHERE split = 'test' AND model IN ('NaiveMedian', 'saleEstimate_lowerPrice')
