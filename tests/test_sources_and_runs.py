@@ -238,7 +238,7 @@ def config(spark, sales, tmp_path_factory):
         source, str(folder / "out"), segment_min_rows=20, fold_min_rows=100,
         models=[learners.naive_median(), learners.boosted_trees(**trees), learners.random_forest(**forest), learners.ridge()],
         assisted_models=[learners.random_forest("AssistedRandomForest", **forest)],
-        fold_families=[learners.random_forest(**forest), learners.ridge()], publish_to=str(folder / "frozen"))
+        fold_families=[learners.random_forest(**forest), learners.ridge()], publish_to=str(folder / "frozen"), csv_to=str(folder / "csv"))
 
 
 def test_whole_run(spark, config, sales):
@@ -255,6 +255,8 @@ def test_whole_run(spark, config, sales):
     assert predictions.groupBy("row_id", "model").count().where("count > 1").isEmpty()
     stamp = os.listdir(config.publish_to)
     assert len(stamp) == 1 and "model_results" in os.listdir(os.path.join(config.publish_to, stamp[0]))
+    exported = spark.read.option("header", True).csv(os.path.join(config.csv_to, "model_results"))
+    assert exported.columns == board.columns and exported.count() == 4
     manifest = [json.loads(r.value) for r in spark.read.text(f"{config.output}/manifest").collect()]
     assert "artifact.model_results" in {m["key"] for m in manifest}
 

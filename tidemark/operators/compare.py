@@ -81,6 +81,21 @@ def score_models(rows: DataFrame, models: Mapping[str, object]) -> DataFrame:
     return wide.select(*kept, F.inline(F.array(*cells)))
 
 
+def wide_predictions(
+    predictions: DataFrame, models: Sequence[str], keys: Sequence[str] = ("row_id", "split", "history_date", "y_true"),
+) -> DataFrame:
+    """One row per scored row with a ``pred_<model>`` column for each named model."""
+    return predictions.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"pred_{m}") for m in models])
+
+
+def long_predictions(wide: DataFrame) -> DataFrame:
+    """The inverse of :func:`wide_predictions`; a narrow projection."""
+    scored = [c for c in wide.columns if c.startswith("pred_")]
+    cells = [F.struct(F.lit(c.removeprefix("pred_")).alias("model"), named(c).alias("y_pred")) for c in scored]
+    return wide.select(*[named(c) for c in wide.columns if c not in scored], F.inline(F.array(*cells)))
+
+
 @dataclass
 class Comparison:
     results: DataFrame

@@ -78,6 +78,22 @@ def compare_models(spark, sf_dir):
         learners.ridge(), learners.elastic_net())
 
 
+_PREDICTORS = ("NaiveMedian", "RoomRate", *fixtures.ESTIMATES)
+
+
+@query(twin("SELECT row_id, split, history_date, round(max(y_true), 6) AS y_true, " + ", ".join(
+    f"round(max(CASE WHEN model = '{m}' THEN y_pred END), 6) AS pred_{m}" for m in _PREDICTORS)
+    + " FROM preds GROUP BY row_id, split, history_date"))
+def predictions_wide(spark, sf_dir):
+    return rounded(compare.wide_predictions(Inputs(spark, sf_dir, SCORED).predictions(), _PREDICTORS), 6)
+
+
+@query(twin("SELECT row_id, split, history_date, round(y_true, 6) AS y_true, model, round(y_pred, 6) AS y_pred FROM preds"))
+def predictions_long(spark, sf_dir):
+    wide = compare.wide_predictions(Inputs(spark, sf_dir, SCORED).predictions(), _PREDICTORS)
+    return rounded(compare.long_predictions(wide), 6)
+
+
 # With one standardised feature both penalised regressions have a closed form.
 _ONE_FEATURE = (
     "one AS (SELECT avg(bedrooms) AS mu, stddev_pop(bedrooms) AS sd, avg(history_price) AS ybar, count(*) AS n FROM train)",

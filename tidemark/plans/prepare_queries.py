@@ -378,6 +378,7 @@ def prep_median_impute(spark, sf_dir):
     return rounded(prep.impute(q.clean, medians).select("row_id", *_IMPUTED), 6)
 
 
+_LOCATED = (*KEYS, "bedrooms", "livingRooms", "floorAreaSqM", "latitude", "longitude", "propertyType")
 _SCALED = ("bedrooms", "floorAreaSqM", "geo_radial", "living_bed_ratio")
 
 
@@ -387,7 +388,7 @@ _SCALED = ("bedrooms", "floorAreaSqM", "geo_radial", "living_bed_ratio")
     + " FROM clean CROSS JOIN med",
     "med AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in _SCALED) + " FROM train)"))
 def prep_standard_scale(spark, sf_dir):
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, _LOCATED)
     train = q.rows_of("train")
     medians = prep.fit_medians(train, _SCALED, rows=q.size)
     scaled = prep.standardize(prep.impute(q.clean, medians), prep.fit_scaler(train, medians))
@@ -443,7 +444,7 @@ _HOT = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     + " FROM train CROSS JOIN med)"))
 def prep_matrix(spark, sf_dir):
     """The dense view of the assembled vector, one column per feature."""
-    q = Inputs(spark, sf_dir)
+    q = Inputs(spark, sf_dir, _LOCATED)
     fitted = _fitted(q, _MATRIX)
     dense = fitted.transform(q.clean).select("row_id", vector_to_array("features").alias("x"))
     return rounded(dense.select(
@@ -455,7 +456,7 @@ SELECT CAST(row_number() OVER (ORDER BY kind, feature) - 1 AS INTEGER) AS positi
   SELECT 0 AS kind, 'bedrooms' AS feature UNION ALL SELECT 0, 'floorAreaSqM' UNION ALL SELECT 0, 'geo_radial'
   UNION ALL SELECT DISTINCT 1, concat('propertyType_', propertyType) FROM train WHERE propertyType IS NOT NULL) n"""))
 def prep_feature_names(spark, sf_dir):
-    fitted = _fitted(Inputs(spark, sf_dir), _MATRIX)
+    fitted = _fitted(Inputs(spark, sf_dir, _LOCATED), _MATRIX)
     return spark.createDataFrame(list(enumerate(fitted.feature_names)), "position int, feature string")
 
 

@@ -56,6 +56,7 @@ class RunConfig:
     n_bins: int = 5
     thresholds: governance.Thresholds = field(default_factory=governance.Thresholds)
     publish_to: str | None = None
+    csv_to: str | None = None
 
 
 class Run:
@@ -202,6 +203,11 @@ def run_report(run: Run) -> None:
     run.save("report_facts", governance.report_facts(run.spark, tracks, thresholds))
     if run.config.publish_to is not None:
         publish_snapshot(run.spark, run.config.output, run.config.publish_to, PUBLISHED, utc_stamp())
+    if run.config.csv_to is not None:
+        for name in PUBLISHED:
+            table = run.load(name)
+            if table is not None:
+                write_table(table, run.config.csv_to, name, "csv")
 
 
 _STEPS: dict[str, Callable[[Run], None]] = {
