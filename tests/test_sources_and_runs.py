@@ -33,11 +33,13 @@ def test_csv_row_ids_follow_file_order(spark, tmp_path):
 
 def test_csv_missing_markers_and_inference(spark, tmp_path):
     path = tmp_path / "x.csv"
-    write_csv(path, ["history_price,history_date,a,b,c,empty", '1,2020-01-01,NA,1.5,"say ""hi"", ok",', "2,bad,n/a,x,None,null"])
+    write_csv(path, ["history_price,history_date,a,b,c,empty,flag,gap", '1,2020-01-01,NA,1.5,"say ""hi"", ok",,True,true', "2,bad,n/a,x,None,null,false,"])
     df = tables.read_transactions(spark, str(path), infer=True)
     assert dict(df.dtypes)["history_price"] == "double" and dict(df.dtypes)["b"] == "string"
     assert dict(df.dtypes)["a"] == dict(df.dtypes)["empty"] == "double"
+    assert dict(df.dtypes)["flag"] == "boolean" and dict(df.dtypes)["gap"] == "string"
     got = df.orderBy("row_id").collect()
+    assert [r.flag for r in got] == [True, False]
     assert [(r.row_id, r.a, r.b, r.c) for r in got] == [(0, None, "1.5", 'say "hi", ok'), (1, None, "x", None)]
 
 

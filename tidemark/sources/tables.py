@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions.parsing import NUMBER_PATTERN, missing_to_null, named, parse_number
 
+# Text that a delimited-file reader takes for a truth value.
+TRUTH_TOKENS = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
 TARGET = "history_price"
 DATE = "history_date"
 
@@ -48,19 +51,27 @@ def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Whole-table inference: a text column that is all numbers becomes double.
+    """Whole-table inference: text that is all numbers or all truth values is typed.
 
-    One aggregate over all columns decides; a column without any value counts
-    as numeric.
+    One aggregate over all columns decides.  A column without any value counts
+    as numeric; truth values must not have gaps.
     """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    bad = df.agg(*[
-        F.count_if(~named(c).rlike(NUMBER_PATTERN)).alias(f"c{i}") for i, c in enumerate(texts)]).first()
-    numeric = {c for i, c in enumerate(texts) if bad[i] == 0}
-    return df.select([
-        parse_number(named(c)).alias(c) if c in numeric else named(c) for c in df.columns])
+    counts = df.agg(F.count(F.lit(1)), *[
+        measure for c in texts for measure in (
+            F.count_if(~named(c).rlike(NUMBER_PATTERN)), F.count_if(named(c).isin(TRUTH_TOKENS)))]).first()
+    rows, counts = counts[0], counts[1:]
+    numeric = {c for i, c in enumerate(texts) if counts[2 * i] == 0}
+    truth = {c for i, c in enumerate(texts) if rows and counts[2 * i + 1] == rows}
+
+    def typed(c: str):
+        if c in numeric:
+            return parse_number(named(c)).alias(c)
+        return named(c).cast("boolean").alias(c) if c in truth else named(c)
+
+    return df.select([typed(c) for c in df.columns])
 
 
 def read_transactions(
