@@ -50,7 +50,10 @@ def walk_forward(
             prep = fit_preprocessor(train, spec, rows=support["train_rows"])
             train, val, dim = prep.transform(train), prep.transform(val), prep.feature_dim
         columns = [named(target).alias(LABEL), *(["features"] if spec is not None else [])]
-        train = train.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+        train = train.select(*columns)
+        if spec is not None:
+            # Learners read the matrix many times; baselines read one column once or twice.
+            train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             models, _ = fit_all(train, learners, dim)
             if models:

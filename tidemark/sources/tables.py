@@ -50,16 +50,17 @@ def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
         .drop("_file", "_block", "_seen", "_first", "_before"))
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+def infer_types(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """Whole-table inference: text that is all numbers or all truth values is typed.
 
     One aggregate over all columns decides.  A column without any value counts
-    as numeric; truth values must not have gaps.
+    as numeric; truth values must not have gaps.  ``evidence`` is a cheaper
+    table with the same rows to look at instead.
     """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    counts = df.agg(F.count(F.lit(1)), *[
+    counts = (df if evidence is None else evidence).agg(F.count(F.lit(1)), *[
         measure for c in texts for measure in (
             F.count_if(~named(c).rlike(NUMBER_PATTERN)), F.count_if(named(c).isin(TRUTH_TOKENS)))]).first()
     rows, counts = counts[0], counts[1:]
@@ -95,14 +96,11 @@ def read_transactions(
         scan = (
             spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path))
         require_columns(scan, required)
-        if row_id not in scan.columns:
-            scan = with_row_id(scan, row_id)
-        else:
-            scan = scan.withColumn(row_id, named(row_id).cast("bigint"))
-        table = scan.select([
-            named(f.name) if f.name == row_id else missing_to_null(named(f.name)).alias(f.name)
-            for f in scan.schema])
-        return infer_types(table) if infer else table
+        texts = [missing_to_null(named(c)).alias(c) for c in scan.columns if c != row_id]
+        keyed = scan.withColumn(row_id, named(row_id).cast("bigint")) if row_id in scan.columns else with_row_id(scan, row_id)
+        table = keyed.select(row_id, *texts)
+        # The plain scan settles the types, so this pass does not number the rows.
+        return infer_types(table, scan.select(texts)) if infer else table
     scan = spark.read.format(fmt).load(path)
     return require_columns(scan, required)
 
