@@ -168,7 +168,7 @@ benchmark_rows AS (
   FROM metrics WHERE split = 'test' AND model LIKE 'saleEstimate%' AND n_rows >= 100),
 assisted_preds AS (
   SELECT 'AssistedBlend' AS model, split, history_price AS y, (saleEstimate_lowerPrice + saleEstimate_upperPrice)/2 AS p FROM scored
-  UNION ALL SELECT 'AssistedLow', split, history_price, saleEstimate_lowerPrice FROM scored),
+  UNION ALL SELECT 'AssistedMix', split, history_price, (saleEstimate_lowerPrice + saleEstimate_currentPrice)/2 FROM scored),
 assisted AS (
   SELECT model, avg(abs(y-p)) AS test_mae, sqrt(avg((y-p)*(y-p))) AS test_rmse
   FROM assisted_preds WHERE split = 'test' AND p IS NOT NULL GROUP BY model),
