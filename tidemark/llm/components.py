@@ -1,13 +1,13 @@
 """Connected components of links, and links from shared lists without all pairs.
 
-``connect`` takes lists (nodes that share a key, so may be linked) and a ``verify``
-function that tells which candidate pairs are links.  It never writes out all pairs
-of a list.  First every node is held against one leader per list, the node with the
-greatest weight, which joins most of a group in as many pairs as it has nodes.  Only
-lists whose nodes then still lie in different components are looked at again: each
-node outside the list's largest component against the nodes of other components.
-A pair inside one component can't change the components, so no link is lost that
-matters to them.
+``connect`` takes lists (nodes that share a key, so may be linked), the nodes' details
+and a condition that tells from two details whether they are linked.  It never writes
+out the pairs of a list.  First every node is held against one leader per list, the node
+with the greatest weight, which joins most of a group in as many pairs as it has nodes.
+Only lists whose nodes then still lie in different components are looked at again: each
+node outside the list's largest component against the nodes of other components, with
+the condition inside the join, so that only links come out of it.  A pair inside one
+component can't change the components, so no link is lost that matters to them.
 """
 
 from __future__ import annotations
@@ -45,48 +45,45 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], space: Workspace,
-            details: DataFrame | None = None, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def connect(lists: DataFrame, details: DataFrame, linked: Callable[[Column, Column], Column], space: Workspace,
+            survivors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node component`` of every node with a link.
 
-    ``lists``: key, node, weight.  ``details``: node, detail; ``likely(detail, detail)``
-    may sort out candidate pairs that can't be links before they are verified.
+    ``lists``: key, node, weight.  ``details``: node and what ``linked`` reads.
+    ``survivors`` may return the nodes (of some details) that can have a link among them.
     """
     lists = space.stage(lists, "lists")
+    details = details.select("node", F.struct(*[c for c in details.columns if c != "node"]).alias("d"))
     leaders = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = (lists.join(leaders, "key").where(F.col("node") != F.col("lead.node"))
              .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
-    tried = space.stage(_likely(pairs, details, likely), "tried")
-    near = components(space.stage(verify(tried), "links"), space)
-    near = space.stage(near, "near")
+    side = lambda s: details.select(F.col("node").alias(s), F.col("d").alias(f"d_{s}"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(linked(F.col("d_a"), F.col("d_b"))).select("a", "b")
+    near = space.stage(components(links, space), "near")
 
     placed = lists.join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    homes = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"),
-                                     F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "home")
-    mixed = space.stage(placed.join(homes, "key"), "mixed")
-    if details is not None:
-        mixed = mixed.join(details, "node")
-    odd = mixed.where(F.col("component") != F.col("home")).select("key", *[F.col(c).alias(f"x_{c}") for c in mixed.columns if c != "key"])
-    test = (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("home")) | (F.col("x_node") < F.col("node")))
-    if likely is not None and details is not None:
-        test = test & likely(F.col("x_detail"), F.col("detail"))
-    rest = odd.join(mixed, "key").where(test).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
-    rest = space.stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not space.rows["rest"]:
-        return near
-    links = verify(rest)
-    part = lambda side: near.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    links = space.stage(links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
-        F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), "links")
+    mixed = space.stage(_mixed(placed), "mixed")
+    own = details.join(mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
+    if survivors is not None:
+        own = space.stage(own, "own")
+        own = own.join(survivors(own.select("node", "d.*")), "node", "left_semi")
+        mixed = space.stage(_mixed(mixed.join(own.select("node"), "node", "left_semi").select("key", "node", "component")), "mixed")
+    full = mixed.join(own, "node")
+    odd = full.where(F.col("component") != F.col("home")).select("key", *[
+        F.col(c).alias(f"x_{c}") for c in ("node", "component", "d", "keys")])
+    first = F.element_at(F.array_intersect("x_keys", "keys"), 1) == F.col("key")  # a pair is tried in one list only
+    links = odd.join(full, "key").where(
+        (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("home")) | (F.col("x_node") < F.col("node")))
+        & first & linked(F.col("x_d"), F.col("d"))).select(F.col("x_component").alias("a"), F.col("component").alias("b"))
     over = space.stage(components(links, space).select(F.col("node").alias("component"), F.col("component").alias("top")), "over")
     merged = near.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     lone = over.select(F.col("component").alias("node"), F.col("top").alias("component")).join(near, "node", "left_anti")
     return merged.unionAll(lone)
 
 
-def _likely(pairs: DataFrame, details: DataFrame | None, likely) -> DataFrame:
-    if details is None or likely is None:
-        return pairs
-    side = lambda s: details.select(F.col("node").alias(s), F.col("detail").alias(f"d_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(likely(F.col("d_a"), F.col("d_b"))).select("a", "b")
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The lists (key, node, component) with several components, with the largest one as ``home``."""
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"),
+                                     F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "home")
+    return placed.join(homes, "key")

@@ -82,12 +82,8 @@ def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, sp
     lines = space.stage(texts.select("node", "line").join(posted.select("node").distinct(), "node", "left_semi")
                         .groupBy("node").agg(F.min("line").alias("line")), "lines")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s: lines.select(F.col("node").alias(s), F.col("line").alias(f"line_{s}"))
-        return (pairs.join(side("a"), "a").join(side("b"), "b")
-                .where(F.levenshtein("line_a", "line_b", max_edits) >= 0).select("a", "b"))
-
-    found = connect(posted.select("key", "node", F.xxhash64("node").alias("weight")), verify, space)
+    found = connect(posted.select("key", "node", F.xxhash64("node").alias("weight")), lines,
+                    lambda x, y: F.levenshtein(x["line"], y["line"], max_edits) >= 0, space)
     merged = distinct.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     merged = space.stage(merged, "merged")
     heads = merged.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")

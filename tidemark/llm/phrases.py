@@ -80,33 +80,34 @@ def _kind(df: DataFrame) -> str:
 
 
 def scanned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc_id n_words whole anchors``: the digest of the words joined, and the anchors."""
+    """``doc_id n_words whole hashes many``: the digest of the words joined, the distinct
+    anchors and whether the text itself repeats them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         grams = Grams(window, anchor)
         for batch in batches:
-            sizes, wholes, hashes, places = [], [], [], []
+            sizes, wholes, hashes, many = [], [], [], []
             for text in batch.column("text"):
                 words = (text.as_py() or b"").split()
                 sizes.append(len(words))
                 wholes.append(hashlib.sha256(b" ".join(words)).digest())
                 if len(words) < window:
                     hashes.append([])
-                    places.append([])
+                    many.append([])
                     continue
                 values, place = grams.anchors(grams.codes(words))
-                place = np.unique(place)
-                hashes.append(values[place].view(np.int64))
-                places.append(place.astype(np.int32))
+                values, count = np.unique(values[np.unique(place)], return_counts=True)
+                hashes.append(values.view(np.int64))
+                many.append(count > 1)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()),
-                pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["doc_id", "n_words", "whole", "hashes", "places"])
+                pa.array(hashes, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.bool_()))],
+                names=["doc_id", "n_words", "whole", "hashes", "many"])
 
     rows = _rows(docs)
-    return rows.mapInArrow(run, f"doc_id {_kind(rows)}, n_words long, whole binary, hashes array<long>, places array<int>")
+    return rows.mapInArrow(run, f"doc_id {_kind(rows)}, n_words long, whole binary, hashes array<long>, many array<boolean>")
 
 
 def candidate_windows(routed: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -120,10 +121,9 @@ def candidate_windows(routed: DataFrame, window: int, anchor: int) -> DataFrame:
             prints, places, many = [], [], []
             for text, repeated in zip(batch.column("text"), batch.column("repeated"), strict=True):
                 codes = grams.codes(text.as_py().split())
-                _, place = grams.anchors(codes)
-                mark = np.zeros(len(codes), bool)
-                mark[np.asarray(repeated.values.to_numpy(), np.int64)] = True
-                at = np.flatnonzero(mark[place])
+                anchors, place = grams.anchors(codes)
+                known = np.isin(anchors, repeated.values.to_numpy().view(np.uint64))
+                at = np.flatnonzero(known[place])
                 values, first, count = np.unique(grams.windows(codes)[at], return_index=True, return_counts=True)
                 order = np.argsort(first)  # in text order the rows compress
                 prints.append(values[order].view(np.int64))
@@ -244,13 +244,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     # One row per distinct text: the one with the least id; its anchors join by digest and id.
     single = all_rows.where(F.col("n_words") >= window).join(
         texts.select("whole", F.col("doc_id").alias("first")), "whole").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    single = single.select("doc_id", "whole", F.inline(F.arrays_zip("hashes", "places")))
-    met = single.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hashes"))).where("n > 1")
-    hinted = met.groupBy("doc_id", "whole").agg(F.collect_set("places").alias("repeated"))
+    anchors = space.stage(single.select("doc_id", F.substring("whole", 1, 8).alias("part"), F.inline(F.arrays_zip(
+        F.col("hashes").alias("hash"), F.col("many").alias("many")))), "anchors")
+    met = anchors.groupBy("hash").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash")
+    hinted = anchors.join(met, "hash").groupBy("doc_id", "part").agg(F.collect_set("hash").alias("repeated"))
 
     rows = _rows(docs)
     joined = hinted.withColumnRenamed("doc_id", "_id").join(rows, F.col("_id").eqNullSafe(rows["doc_id"]))
-    joined = joined.select("doc_id", "whole", "text", "repeated")
+    joined = joined.select("doc_id", "part", "text", "repeated")
     routed = space.stage(_own_texts(joined), "routed")
 
     windows = candidate_windows(routed, window, anchor)
@@ -276,15 +277,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
 
 
 def _own_texts(joined: DataFrame) -> DataFrame:
-    """Only rows whose text has the digest they were joined for (ids may repeat)."""
+    """Rows whose text has the digest they were joined for (ids may repeat), with the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [t.as_py() is not None and hashlib.sha256(b" ".join(t.as_py().split())).digest() == w.as_py()
-                    for t, w in zip(batch.column("text"), batch.column("whole"), strict=True)]
-            yield batch.filter(pa.array(seen, pa.bool_()))
+            wholes = [hashlib.sha256(b" ".join((t.as_py() or b"").split())).digest() for t in batch.column("text")]
+            own = [w[:8] == p.as_py() for w, p in zip(wholes, batch.column("part"), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(wholes, pa.binary()), batch.column("text"), batch.column("repeated")],
+                names=["doc_id", "whole", "text", "repeated"]).filter(pa.array(own, pa.bool_()))
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(run, f"doc_id {_kind(joined)}, whole binary, text binary, repeated array<long>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
