@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connect
-from tidemark.llm.words import plain_names, text_of
+from tidemark.llm.words import let, plain_names, text_of
 from tidemark.workspace import Workspace
 
 MAX_EDITS = 1
@@ -41,33 +41,38 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.where(F.length("line") >= min_chars)
 
 
-def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """(start, size) of the i-th of ``parts`` even segments; the last ones take the rest."""
-    size, rest = F.floor(length / parts).cast("int"), length % parts
-    longer = F.greatest(F.lit(0), i - (parts - rest))
-    return i * size + longer, size + F.when(F.lit(i) >= parts - rest, 1).otherwise(0)
+def cases_of(max_edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift) of every key of a line."""
+    cases = []
+    for less in range(max_edits + 1):
+        for i in range(max_edits + 1):
+            # An unchanged segment has i edits at most before it, or max_edits - i after it.
+            shifts = {s for s in range(-max_edits, max_edits + 1) if abs(s) <= i and abs(s - less) <= max_edits - i}
+            if less == 0:
+                shifts.add(0)  # the line's own segments
+            cases += [(less, i, s) for s in sorted(shifts)]
+    return cases
 
 
 def keys_of(line: Column, max_edits: int) -> Column:
-    """Array of the hashed index and probe keys of a line."""
-    parts, size = max_edits + 1, F.length(line)
-    keys = []
-    for less in range(max_edits + 1):  # the other line is shorter by so much
-        target = size - less
-        for i in range(parts):
-            start, length = _segment(target, parts, i)
-            # An unchanged segment has i edits at most before it, or max_edits - i after it.
-            shifts = [0] if less == 0 else []
-            for shift in range(-max_edits, max_edits + 1):
-                near_head = abs(shift) <= i
-                near_tail = abs(shift - less) <= max_edits - i
-                if near_head and near_tail and shift not in shifts:
-                    shifts.append(shift)
-            for shift in shifts:
-                at = start + shift
-                inside = (at >= 0) & (at + length <= size)
-                keys.append(F.when(inside, F.xxhash64(target, F.lit(i), F.substr(line, at + 1, length))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    """Array of the hashed index and probe keys of a line.
+
+    Segments are even; the last ones take the rest of the length.  One lambda over the
+    cases keeps the generated code small enough to be compiled.
+    """
+    parts = max_edits + 1
+    cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("less", "i", "shift"), c, strict=True)])
+                      for c in cases_of(max_edits)])
+
+    def key(size: Column, case: Column) -> Column:
+        target, i = size - case["less"], case["i"]
+        rest = target % parts
+        short = ((target - rest) / parts).cast("int")
+        start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + case["shift"]
+        length = short + F.when(i >= parts - rest, 1).otherwise(0)
+        return F.when((start >= 0) & (start + length <= size), F.xxhash64(target, i, F.substr(line, start + 1, length)))
+
+    return F.array_distinct(F.array_compact(let(F.length(line), lambda size: F.transform(cases, lambda c: key(size, c)))))
 
 
 def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, space: Workspace) -> DataFrame:
@@ -75,7 +80,7 @@ def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, sp
     distinct = space.stage(inst.groupBy("lid").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     texts = lines_of(docs, min_chars).withColumn("node", digest(F.col("line")))
-    posted = texts.select("node", F.explode(keys_of(F.col("line"), max_edits)).alias("key"))
+    posted = space.stage(texts.select("node", F.explode(keys_of(F.col("line"), max_edits)).alias("key")), "keys")
     posted = space.stage(posted.groupBy("key").agg(
         F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key")
         .join(posted.distinct(), "key"), "posted")
