@@ -123,3 +123,19 @@ def test_feature_policies(spark):
     assert "rentEstimate_currentPrice" not in narrow.columns and "saleEstimate_confidenceLevel" not in narrow.columns
     with pytest.raises(ValueError, match="forbidden"):
         policy.assert_mainline(assisted)
+
+
+def test_date_profile_moves_offsets_to_utc(spark):
+    from tidemark.operators.profile import date_profile
+
+    rows = spark.createDataFrame([("2020-01-01T00:00:00+05:00",), ("2020-01-01 00:00:00",), ("2020-03-01",), (None,)], "d string")
+    got = date_profile(rows, ["d", "absent"]).first()
+    assert (got.non_null, got.distinct_values, str(got.min_date), str(got.max_date)) == (3, 3, "2019-12-31 19:00:00", "2020-03-01 00:00:00")
+    assert date_profile(rows, ["absent"]).collect() == []
+
+
+def test_boolean_columns_are_numbers(spark):
+    from tidemark.functions.parsing import double_of
+
+    rows = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert [r[0] for r in rows.select(double_of(rows, "b")).collect()] == [1.0, 0.0, None]

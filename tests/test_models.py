@@ -112,7 +112,7 @@ def test_lbfgs_uses_the_same_penalty(matrix, monkeypatch):
 
 def test_comparison_beats_naive_and_reports_skips(spark, matrix):
     def broken(_):
-        raise RuntimeError("no luck")
+        raise ValueError("no luck")
 
     found = compare.compare_models(matrix, [
         learners.naive_median(), learners.boosted_trees(**TREES), learners.random_forest(**FOREST), learners.ridge(),
@@ -279,3 +279,26 @@ def test_best_of_family(spark):
     df = spark.createDataFrame([("s", 3.0), ("m", 1.0), ("x", 0.5)], "model string, test_rmse double")
     got = {r.model: r.test_rmse for r in compare.best_of_family(df, {"s": "Fam", "m": "Fam"}).collect()}
     assert got == {"s": 3.0, "m": 1.0, "x": 0.5, "Fam": 1.0}
+
+
+def test_failed_settings_and_folds_stay_visible(spark):
+    from tidemark.operators import governance, walkforward
+
+    folds = spark.createDataFrame(
+        [("a", "Ridge", 10, 5, 1.0), ("b", "Ridge", 20, 5, None), ("a", "Naive", 10, 5, 2.0), ("b", "Naive", 20, 5, 2.0)],
+        walkforward.FOLD_SCHEMA)
+    assert governance.gate_variation(folds, "Ridge") is None
+    assert governance.gate_variation(folds, "Naive") == 0.0
+    assert {r.fold: r.winner for r in walkforward.fold_winners(folds).collect()} == {"a": "Ridge", "b": "Naive"}
+
+
+def test_a_failed_job_is_not_a_skipped_candidate(spark):
+    import pytest
+
+    from tidemark.operators import compare, learners
+
+    def lost(_):
+        raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        compare.fit_all(spark.range(1), [learners.Learner("Lost", lost)], 1)

@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, differences
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, SF_TINY
+from tidemark.plans import catalog
 
 SAMPLE = (
     "model_naive", "src_scan", "upsert_predictions", "profile_missing", "profile_log_hist", "clean_dedup",
@@ -23,12 +24,22 @@ def duck():
     return connect(SF_SMALL)
 
 
+@pytest.fixture(scope="module")
+def tiny_duck():
+    return connect(SF_TINY)
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_its_twin(spark, duck, name):
     df = entry.queries()[name](spark, SF_SMALL)
     assert differences(df, duck, entry.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - set(SAMPLE)))
+def test_every_twin_at_the_smallest_scale(spark, tiny_duck, name):
+    assert differences(catalog.queries()[name](spark, SF_TINY), tiny_duck, catalog.oracle_sql()[name]) == []
+
+
 def test_entry(spark):
     assert {r.split for r in entry.entry(spark).collect()} == {"train", "val", "test"}
 

@@ -96,9 +96,15 @@ def test_upsert_rows(spark):
     assert upserts.upsert_rows(None, new) is new
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_upsert_predictions(spark, monkeypatch, limit):
-    monkeypatch.setattr(upserts, "NAME_LIMIT", limit)
+def test_upsert_predictions_without_a_name(spark):
+    schema = "row_id int, model string, y_pred double"
+    base = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (1, None, 1.0)], schema)
+    new = spark.createDataFrame([(1, "a", 9.0), (1, None, 8.0)], schema)
+    got = {r.model: r.y_pred for r in upserts.upsert_predictions(base, new).collect()}
+    assert got == {"a": 9.0, "b": 1.0, None: 8.0}
+
+
+def test_upsert_predictions(spark):
     schema = "row_id int, model string, y_pred double"
     base = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (1, "b", 1.0), (2, "b", 1.0)], schema)
     new = spark.createDataFrame([(1, "b", 9.0), (2, "b", 9.0)], schema)

@@ -40,6 +40,10 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
+#: A clock time followed by a zone offset.
+OFFSET_PATTERN = r":\d{2}(\.\d+)?\s*(Z|[+-]\d{1,2}(:?\d{2})?)\s*$"
+
+
 def parse_instant(text: Column, formats: Sequence[str] = ()) -> Column:
     """ISO text to timestamp_ntz; further formats are tried in order."""
     parsed = [text.try_cast("timestamp_ntz")]
@@ -55,7 +59,7 @@ def double_of(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         value = named(name).cast("double")
         return F.when(~F.isnan(value), value)
-    if isinstance(dtype, T.NumericType):
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return named(name).cast("double")
     return parse_number(named(name).cast("string"))
 
@@ -67,3 +71,16 @@ def instant_of(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
     if isinstance(df.schema[name].dataType, T.StringType):
         return parse_instant(named(name), formats)
     return named(name).cast("timestamp_ntz")
+
+
+def utc_instant_of(df: DataFrame, name: str) -> Column:
+    """Like :func:`instant_of`, but a text with an offset is moved to UTC.
+
+    A text without an offset is taken as UTC already, whatever the session's zone.
+    """
+    plain = instant_of(df, name)
+    if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
+        return plain
+    text = named(name)
+    moved = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(text.rlike(OFFSET_PATTERN), moved).otherwise(plain)

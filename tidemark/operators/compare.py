@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.parsing import named
 from tidemark.operators.learners import LABEL, Learner
@@ -62,7 +64,8 @@ def fit_all(train: DataFrame, learners: Sequence[Learner], feature_dim: int):
         if reason is None:
             try:
                 models[learner.name] = learner.fit(train)
-            except Exception as error:  # noqa: BLE001 - one bad candidate must not end the run
+            except (AnalysisException, IllegalArgumentException, ValueError, ArithmeticError) as error:
+                # A bad candidate must not end the run; a failed Spark job must.
                 reason = f"{type(error).__name__}: {error}"
         if reason is not None:
             skipped[learner.name] = reason
@@ -71,6 +74,10 @@ def fit_all(train: DataFrame, learners: Sequence[Learner], feature_dim: int):
 
 def score_models(rows: DataFrame, models: Mapping[str, object]) -> DataFrame:
     """Long predictions of all models from a single pass over ``rows``."""
+    if not models:
+        kept = [f for f in rows.schema if f.name != "features"]
+        return rows.sparkSession.createDataFrame([], T.StructType([
+            *kept, T.StructField("model", T.StringType()), T.StructField("y_pred", T.DoubleType())]))
     wide = rows
     for i, model in enumerate(models.values()):
         wide = model.transform(wide).withColumnRenamed("prediction", f"p{i}")
@@ -145,7 +152,7 @@ def grid_search(
     *,
     select_by: str = "val_rmse",
 ) -> DataFrame:
-    """One row per setting, best first.
+    """One row per setting, best first; a setting that can't be fitted keeps its row and reason.
 
     ``families`` maps a family name to its learner factory and settings.
     Ranking by validation error keeps the test split untouched; pass
@@ -154,14 +161,15 @@ def grid_search(
     trials = [
         (family, json.dumps(params, sort_keys=True), factory(f"trial_{family}_{i}", **params))
         for family, (factory, grid) in families.items() for i, params in enumerate(grid)]
-    models, _ = fit_all(matrix.of("train"), [t[2] for t in trials], matrix.prep.feature_dim)
+    models, skipped = fit_all(matrix.of("train"), [t[2] for t in trials], matrix.prep.feature_dim)
     metrics = wide_results(regression_metrics(score_models(matrix.of("val", "test"), models)))
     spark = matrix.rows.sparkSession
     settings = spark.createDataFrame(
-        [(learner.name, family, params) for family, params, learner in trials],
-        "model string, model_family string, params string")
-    return metrics.join(settings, "model").select(
-        "model_family", "params", "val_mae", "val_rmse", "test_mae", "test_rmse",
+        [(learner.name, family, params, "failed" if learner.name in skipped else "fitted", skipped.get(learner.name))
+         for family, params, learner in trials],
+        "model string, model_family string, params string, status string, reason string")
+    return settings.join(metrics, "model", "left").select(
+        "model_family", "params", "val_mae", "val_rmse", "test_mae", "test_rmse", "status", "reason",
     ).orderBy(F.col(select_by).asc_nulls_last(), "model_family", "params")
 
 

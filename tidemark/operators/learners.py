@@ -22,8 +22,6 @@ from tidemark.workspace import ensure_checkpoint_dir
 LABEL = "y_true"
 #: Widest matrix the one-pass normal equations accept.
 NORMAL_EQUATION_LIMIT = 4096
-#: Widest matrix for boosted trees.
-BOOSTING_MAX_DIM = 1000
 
 
 @dataclass(frozen=True)
@@ -60,7 +58,7 @@ def naive_median(name: str = "NaiveMedian") -> Learner:
 
 def boosted_trees(
     name: str = "HistGBR", *, max_depth: int = 7, learning_rate: float = 0.05, max_iter: int = 160,
-    min_samples_leaf: int = 40, max_bins: int = 255, seed: int = 42, max_dim: int | None = BOOSTING_MAX_DIM,
+    min_samples_leaf: int = 40, max_bins: int = 255, seed: int = 42, max_dim: int | None = None,
 ) -> Learner:
     def fit(train: DataFrame):
         # Boosting grows a lineage of one step per round; checkpoints cut it.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.parsing import double_of, instant_of, named
+from tidemark.functions.parsing import double_of, instant_of, utc_instant_of, named
 
 
 def _absent(df: DataFrame, name: str) -> Column:
@@ -49,9 +49,12 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 
 def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-null and distinct counts with the range of each date column present."""
+    """Non-null and distinct counts with the UTC range of each date column present."""
     present = [c for c in columns if c in df.columns]
-    cells = [F.struct(F.lit(c).alias("column_name"), instant_of(df, c).alias("t")) for c in present]
+    if not present:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, non_null bigint, distinct_values bigint, min_date timestamp_ntz, max_date timestamp_ntz")
+    cells = [F.struct(F.lit(c).alias("column_name"), utc_instant_of(df, c).alias("t")) for c in present]
     # Counting per value first combines copies before the shuffle and avoids
     # the row expansion of several count-distincts in one aggregate.
     values = df.select(F.inline(F.array(*cells))).groupBy("column_name", "t").agg(F.count("*").alias("n"))

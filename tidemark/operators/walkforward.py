@@ -55,7 +55,9 @@ def walk_forward(
             # Learners read the matrix many times; baselines read one column once or twice.
             train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            models, _ = fit_all(train, learners, dim)
+            models, skipped = fit_all(train, learners, dim)
+            # A family that can't be fitted on a supported fold shows as a row without an error.
+            results += [(fold.label, name, support["train_rows"], support["val_rows"], None) for name in skipped]
             if models:
                 rmse = error_columns(F.col(LABEL), F.col("y_pred"))[1]
                 scored = score_models(val.select(*columns), models).groupBy("model").agg(rmse.alias("rmse"))
@@ -70,17 +72,21 @@ def walk_forward(
 
 
 def family_stability(fold_metrics: DataFrame) -> DataFrame:
-    """Each fold row with its family's mean, population deviation and variation."""
+    """Each fold row with its family's mean, population deviation and variation.
+
+    All three are NULL for a family that lacks the error of a fold.
+    """
     family = Window.partitionBy("model_family")
+    complete = F.count("rmse").over(family) == F.count(F.lit(1)).over(family)
     return fold_metrics.withColumns({
-        "rmse_mean": F.avg("rmse").over(family),
-        "rmse_std": F.stddev_pop("rmse").over(family),
+        "rmse_mean": F.when(complete, F.avg("rmse").over(family)),
+        "rmse_std": F.when(complete, F.stddev_pop("rmse").over(family)),
     }).withColumn("cv_pct", F.lit(100.0) * F.col("rmse_std") / F.nullif(F.col("rmse_mean"), F.lit(0.0)))
 
 
 def fold_winners(fold_metrics: DataFrame) -> DataFrame:
     """Family with the lowest RMSE in each fold; the smaller name wins a tie."""
-    return fold_metrics.groupBy("fold").agg(
+    return fold_metrics.where("rmse IS NOT NULL").groupBy("fold").agg(
         F.min_by("model_family", F.struct("rmse", "model_family")).alias("winner"))
 
 

@@ -113,6 +113,18 @@ def upsert_predictions_stale(spark, sf_dir):
     return rounded(upserts.upsert_predictions(base, rows.where("model = 'RoomRate'").drop("split")), 6)
 
 
+@query(twin("""
+SELECT row_id, CASE WHEN model = 'RoomRate' THEN NULL ELSE model END AS model, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred FROM preds
+WHERE split = 'test' AND model IN ('NaiveMedian', 'saleEstimate_lowerPrice', 'RoomRate')"""))
+def upsert_predictions_null_name(spark, sf_dir):
+    """New rows without a model name replace only old rows without one."""
+    q = Inputs(spark, sf_dir, SCORED)
+    rows = q.workspace.stage(q.predictions("test").select("row_id", "model", "y_true", "y_pred"), "predictions")
+    base = rows.where("model IN ('NaiveMedian', 'saleEstimate_lowerPrice')")
+    new = rows.where("model = 'RoomRate'").withColumn("model", F.lit(None).cast("string"))
+    return rounded(upserts.upsert_predictions(base, new), 6)
+
+
 # ---- profiles ----------------------------------------------------------
 
 _SALES_COLUMNS = (

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Model names that may become a literal list instead of a join.
-NAME_LIMIT = 1000
-
 
 def upsert_rows(base: DataFrame | None, new: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Rows of ``new`` replace the rows of ``base`` with the same key."""
@@ -44,10 +41,7 @@ def upsert_predictions(
     """
     if base is None or not same_rows(base, new, row_id):
         return new
-    names = [r[0] for r in new.select(model).distinct().limit(NAME_LIMIT + 1).collect()]
-    if len(names) <= NAME_LIMIT:
-        # A literal list is pushed into the scan and moves no prediction rows.
-        kept = base.where(~F.col(model).isin(names) | F.col(model).isNull())
-    else:
-        kept = base.join(new.select(model).distinct(), model, "left_anti")
+    # Null-safe: a model without a name is replaced like any other.
+    names = new.select(F.col(model).alias("_new_model")).distinct()
+    kept = base.join(names, F.col(model).eqNullSafe(F.col("_new_model")), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
