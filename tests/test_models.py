@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import compare, history, importance, learners, policy, prep, target, temporal, walkforward
@@ -104,10 +104,12 @@ def test_elastic_net_coordinate_descent(matrix):
 
 def test_lbfgs_uses_the_same_penalty(matrix, monkeypatch):
     normal = learners.ridge(alpha=5.0).fit(matrix.of("train"))
-    monkeypatch.setattr(learners, "NORMAL_EQUATION_LIMIT", 1)
-    other = learners.ridge(alpha=5.0).fit(matrix.of("train"))
+    other = learners.ridge(alpha=5.0, solver="l-bfgs").fit(matrix.of("train"))
     p = [m.transform(matrix.of("test")).agg(F.avg("prediction")).first()[0] for m in (normal, other)]
     assert p[0] == pytest.approx(p[1], rel=1e-4)
+    monkeypatch.setattr(learners, "NORMAL_EQUATION_WIDTH", 1)
+    with pytest.raises(ValueError, match="l-bfgs"):
+        learners.ridge().fit(matrix.of("train"))
 
 
 def test_comparison_beats_naive_and_reports_skips(spark, matrix):
@@ -184,6 +186,22 @@ def test_permutation_importance_of_a_useless_feature(spark, workspace):
     assert gain[0].feature == "a" and sum(r.importance for r in gain) == pytest.approx(1)
 
 
+def test_permutation_importance_of_a_wide_matrix(spark, workspace):
+    """Only what the model reads is shuffled; the rest is zero without being scored."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    width = 2000
+    df = spark.range(300).selectExpr("cast(id AS int) AS row_id", "cast(id % 7 AS double) AS a", "1D * id % 7 * 10 AS y_true")
+    fill = F.array_repeat(F.lit(0.0), width - 1)
+    df = df.select("row_id", "y_true", array_to_vector(F.concat(F.array("a"), fill)).alias("features"))
+    df = workspace.stage(df, "wide")
+    model = DecisionTreeRegressor(labelCol="y_true", maxDepth=3).fit(df)
+    names = [f"f{i:04d}" for i in range(width)]
+    sample = workspace.stage(importance.even_sample(df, workspace, n=200), "wide-sample")
+    got = {r.feature: r.importance for r in importance.permutation_importance(model, sample, names, k=width).collect()}
+    assert len(got) == width and got["f0000"] > 5 and {v for f, v in got.items() if f != "f0000"} == {0.0}
+
+
 # ---- histories and folds
 
 # Validation RMSE of a published 31-epoch training history.
@@ -228,6 +246,19 @@ def test_early_stop_matches_replay(spark):
         assert stops(spark, runs, patience, tol, chunk) == {n: replay(v, patience, tol) for n, v in runs.items()}
 
 
+def test_early_stop_of_a_long_run_that_always_improves(spark):
+    """Every epoch is a minimum; the fold holds one state, not the epochs."""
+    n = 1_000_000
+    df = spark.range(1, n + 1).selectExpr("'long' AS run_id", "cast(id AS int) AS epoch", f"{n}D - id AS val_rmse")
+    df = df.unionAll(spark.createDataFrame([("none", 1, None), ("none", 11, None)], "run_id string, epoch int, val_rmse double"))
+    got = {r.run_id: tuple(r)[1:] for r in history.early_stop(df).collect()}
+    assert got == {"long": (n, 0.0, None, n), "none": (None, None, 10, 11)}
+
+
+def test_early_stop_of_an_empty_history(spark):
+    assert history.early_stop(spark.createDataFrame([], "run_id string, epoch int, val_rmse double")).collect() == []
+
+
 def test_loss_curves(matrix):
     train = matrix.of("train")
     curve = [r.loss for r in history.loss_curve(learners.boosted_trees(**TREES).fit(train), train).orderBy("iteration").collect()]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -42,32 +43,58 @@ def early_stop(
 
     An epoch counts as better only when it undercuts the best by more than
     ``tol``, and such an epoch is always a running minimum.  So the in-order
-    fold needs the running minima alone, which are few even in long runs.
-    ``stop_epoch`` is NULL for a run that ends before patience runs out.
+    fold streams the running minima of a run, sorted, and holds one state; a
+    run that always improves has as many minima as epochs and costs no more
+    memory.  ``stop_epoch`` is NULL for a run that ends before patience runs out.
     """
     ends = history.groupBy("run_id").agg(F.max("epoch").alias("last_epoch"))
-    minima = running_minima(history, value, chunk).groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("epoch", "value"))).alias("minima"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("epoch"), F.lit(float("inf")).alias("value"), F.lit(False).alias("stopped"))
-
-    def step(state, e):
-        stopped = state.stopped | (e.epoch > state.epoch + patience)
-        better = ~stopped & (e.value < state.value - F.lit(tol))
-        return F.struct(
-            F.when(better, e.epoch.cast("bigint")).otherwise(state.epoch).alias("epoch"),
-            F.when(better, e.value).otherwise(state.value).alias("value"),
-            stopped.alias("stopped"))
-
-    last = F.aggregate("minima", start, step)
+    minima = running_minima(history, value, chunk).select(
+        "run_id", F.col("epoch").cast("bigint").alias("epoch"), F.col("value").cast("double").alias("value"))
+    kind = minima.schema["run_id"].dataType.simpleString()
+    best = minima.repartition("run_id").sortWithinPartitions("run_id", "epoch").mapInArrow(
+        _best_epochs(patience, tol), f"run_id {kind}, best_epoch bigint, best_value double")
     # A run without a single usable value has no minima, and stops too.
-    stop = F.coalesce("best.epoch", F.lit(0)) + patience
+    stop = F.coalesce("best_epoch", F.lit(0)) + patience
     return (
-        ends.join(minima, "run_id", "left").withColumn("best", last)
-        .select("run_id", F.col("best.epoch").alias("best_epoch"), F.col("best.value").alias("best_value"),
+        ends.join(best, "run_id", "left")
+        .select("run_id", "best_epoch", "best_value",
                 F.when(stop <= F.col("last_epoch"), stop).alias("stop_epoch"), "last_epoch"))
 
 
+def _best_epochs(patience: int, tol: float):
+    """Fold sorted ``(run_id, epoch, value)`` batches; a run may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        current = schema = None
+
+        def flushed():
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)],
+                names=["run_id", "best_epoch", "best_value"])
+
+        best_epoch, best, stopped = 0, float("inf"), False
+        for batch in batches:
+            schema = batch.schema
+            for run_id, epoch, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current != (run_id,):
+                    if current is not None:
+                        done.append((*current, best_epoch, best))
+                    current, best_epoch, best, stopped = (run_id,), 0, float("inf"), False
+                stopped = stopped or epoch > best_epoch + patience
+                if not stopped and value < best - tol:
+                    best_epoch, best = epoch, value
+            if done:
+                yield flushed()
+                done.clear()
+        if current is not None:
+            done.append((*current, best_epoch, best))
+            yield flushed()
+
+    return run
+
+
 def curve_table(spark, losses: Sequence[float]) -> DataFrame:
     """``(iteration, loss)`` from 1; the list has one entry per training round."""
     return spark.createDataFrame(

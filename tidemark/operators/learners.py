@@ -20,8 +20,8 @@ from tidemark.operators.target import with_target_map
 from tidemark.workspace import ensure_checkpoint_dir
 
 LABEL = "y_true"
-#: Widest matrix the one-pass normal equations accept.
-NORMAL_EQUATION_LIMIT = 4096
+#: Widest matrix Spark's one-pass normal equations accept; ``l-bfgs`` takes any width.
+NORMAL_EQUATION_WIDTH = 4096
 
 
 @dataclass(frozen=True)
@@ -94,32 +94,36 @@ def feature_dim(df: DataFrame, features: str = "features") -> int:
     return df.schema[features].metadata["ml_attr"]["num_attrs"]
 
 
-def _linear(train: DataFrame, reg: Callable[[float, float], tuple[float, float]], max_iter: int):
+def _linear(train: DataFrame, reg: Callable[[float, float], tuple[float, float]], max_iter: int, solver: str):
     """Fit with penalties given in label units.
 
     Spark penalises coefficients of the label divided by its deviation: the
-    population one in the normal equations, the sample one in l-bfgs.
+    population one in the normal equations, the sample one in l-bfgs.  The
+    caller chooses the solver, so coefficients never change with the width.
     """
-    normal = feature_dim(train) <= NORMAL_EQUATION_LIMIT
+    normal, width = solver == "normal", feature_dim(train)
+    if normal and width > NORMAL_EQUATION_WIDTH:
+        raise ValueError(f"solver='normal' takes {NORMAL_EQUATION_WIDTH} features, not {width}; pass solver='l-bfgs'")
     n, sd = train.agg(F.count(LABEL), (F.stddev_pop if normal else F.stddev_samp)(LABEL)).first()
     ridge, lasso = reg(n, sd or 0.0)
     total = ridge + lasso
     return LinearRegression(
-        labelCol=LABEL, solver="normal" if normal else "l-bfgs", standardization=False, maxIter=max_iter,
+        labelCol=LABEL, solver=solver, standardization=False, maxIter=max_iter,
         regParam=total, elasticNetParam=lasso / total if total else 0.0, tol=1e-9).fit(train)
 
 
-def ridge(name: str = "Ridge", alpha: float = 1.0, max_iter: int = 1000) -> Learner:
+def ridge(name: str = "Ridge", alpha: float = 1.0, max_iter: int = 1000, solver: str = "normal") -> Learner:
     """Squared error plus alpha times the squared norm of the coefficients."""
-    return Learner(name, lambda train: _linear(train, lambda n, sd: (alpha * sd / n, 0.0), max_iter))
+    return Learner(name, lambda train: _linear(train, lambda n, sd: (alpha * sd / n, 0.0), max_iter, solver))
 
 
 def elastic_net(
-    name: str = "ElasticNet", alpha: float = 0.001, l1_ratio: float = 0.2, max_iter: int = 2000
+    name: str = "ElasticNet", alpha: float = 0.001, l1_ratio: float = 0.2, max_iter: int = 2000,
+    solver: str = "normal",
 ) -> Learner:
     """Half mean squared error plus mixed absolute and squared penalties."""
     return Learner(name, lambda train: _linear(
-        train, lambda n, sd: (sd * alpha * (1 - l1_ratio), alpha * l1_ratio), max_iter))
+        train, lambda n, sd: (sd * alpha * (1 - l1_ratio), alpha * l1_ratio), max_iter, solver))
 
 
 def mapped_target(learner: Learner, kind: str = "standard", guard: bool = False) -> Learner:
