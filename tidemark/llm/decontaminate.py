@@ -244,13 +244,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """The documents, all columns kept, without the words inside item occurrences.
 
     A document of which occurrences cover more than ``max_coverage`` is removed.
+    Spans of all shards are found in the whole text before any of it is cut.
     """
     context = docs.sparkSession.sparkContext
-    schema = T.StructType(docs.schema.fields)
-    out = docs
-    for shard in automata(items, window, shard_words):
-        out = out.mapInArrow(_cutting(context.broadcast(shard), max_coverage), schema)
-    return out
+    shards = [context.broadcast(shard) for shard in automata(items, window, shard_words)]
+    return docs.mapInArrow(_cutting(shards, max_coverage), T.StructType(docs.schema.fields)) if shards else docs
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -265,16 +263,16 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _cutting(shared, max_coverage: float):
+def _cutting(shards, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton.of(shared.value)
+        built = [ItemAutomaton.of(shard.value) for shard in shards]
         for batch in batches:
             place = batch.schema.get_field_index("text")
             keep, changed = [], {}
             for i, text in enumerate(batch.column(place).cast(pa.binary())):
                 body = text.as_py()
                 words = normal_words(body)
-                spans, _ = automaton.scan(words)
+                spans = _merged([span for automaton in built for span in automaton.scan(words)[0]])
                 hit = sum(e - s for s, e in spans)
                 keep.append(hit <= max_coverage * len(words))
                 if spans:
