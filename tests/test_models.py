@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -333,3 +334,13 @@ def test_a_failed_job_is_not_a_skipped_candidate(spark):
 
     with pytest.raises(RuntimeError):
         compare.fit_all(spark.range(1), [learners.Learner("Lost", lost)], 1)
+
+
+def test_boosting_stops_early_on_held_out_rows(spark):
+    rows = spark.range(4000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("x"),
+        (F.col("id") % 2 * 10 + F.pmod(F.xxhash64("id"), F.lit(7))).cast("double").alias("y_true"))
+    train = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    full = learners.boosted_trees(max_iter=12, max_depth=2).fit(train)
+    early = learners.boosted_trees(max_iter=12, max_depth=2, validation_fraction=0.1).fit(train)
+    assert full.getNumTrees == 12 and early.getNumTrees < 12

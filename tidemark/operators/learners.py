@@ -59,27 +59,39 @@ def naive_median(name: str = "NaiveMedian") -> Learner:
 def boosted_trees(
     name: str = "HistGBR", *, max_depth: int = 7, learning_rate: float = 0.05, max_iter: int = 160,
     min_samples_leaf: int = 40, max_bins: int = 255, seed: int = 42, max_dim: int | None = None,
+    validation_fraction: float = 0.0, tol: float = 0.01, row_id: str = "row_id",
 ) -> Learner:
+    """Boosting for ``max_iter`` rounds, or with early stopping when the caller asks for it.
+
+    With ``validation_fraction`` that share of the train rows, chosen by a seeded hash of
+    ``row_id``, is held out; training stops when a round no longer improves its error by
+    ``tol`` (relative).
+    """
     def fit(train: DataFrame):
         # Boosting grows a lineage of one step per round; checkpoints cut it.
         ensure_checkpoint_dir(train.sparkSession)
-        return GBTRegressor(
+        booster = GBTRegressor(
             labelCol=LABEL, maxDepth=max_depth, stepSize=learning_rate, maxIter=max_iter,
             minInstancesPerNode=min_samples_leaf, maxBins=max_bins, seed=seed,
-            maxMemoryInMB=1024, checkpointInterval=10).fit(train)
+            maxMemoryInMB=1024, checkpointInterval=10)
+        if validation_fraction > 0:
+            part = F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(1 << 20))
+            train = train.withColumn("_held_out", part < int(validation_fraction * (1 << 20)))
+            booster = booster.setValidationIndicatorCol("_held_out").setParams(validationTol=tol)
+        return booster.fit(train)
 
     return Learner(name, fit, max_dim)
 
 
 def random_forest(
     name: str = "RandomForest", *, n_estimators: int = 120, max_depth: int = 20, min_samples_leaf: int = 4,
-    max_bins: int = 255, seed: int = 42,
+    max_bins: int = 255, seed: int = 42, bootstrap: bool = True,
 ) -> Learner:
     def fit(train: DataFrame):
         ensure_checkpoint_dir(train.sparkSession)
         return RandomForestRegressor(
             labelCol=LABEL, numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
-            maxBins=max_bins, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=1024).fit(train)
+            maxBins=max_bins, seed=seed, featureSubsetStrategy="all", bootstrap=bootstrap, maxMemoryInMB=1024).fit(train)
 
     return Learner(name, fit)
 

@@ -49,7 +49,8 @@ def walk_forward(
         if spec is not None:
             prep = fit_preprocessor(train, spec, rows=support["train_rows"])
             train, val, dim = prep.transform(train), prep.transform(val), prep.feature_dim
-        columns = [named(target).alias(LABEL), *(["features"] if spec is not None else [])]
+        keys = [c for c in ("row_id",) if c in df.columns]  # early stopping holds rows out by their id
+        columns = [named(target).alias(LABEL), *([*keys, "features"] if spec is not None else [])]
         train = train.select(*columns)
         if spec is not None:
             # Learners read the matrix many times; baselines read one column once or twice.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import metric_queries, model_queries, prepare_queries  # noqa: F401
+from tidemark.plans import exact_queries, metric_queries, model_queries, prepare_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES
 
 
