@@ -19,7 +19,7 @@ SAMPLE = (
 )
 #: These need folds of 1000 rows, or a segment that fails, which the smallest scale does not have.
 NEED_ROWS = (
-    "wf_eval", "wf_status", "wf_stability", "wf_winner", "wf_fold_winner", "gov_gates", "gov_stability", "gov_blockers",
+    "wf_eval", "wf_status", "wf_support", "wf_stability", "wf_winner", "wf_fold_winner", "gov_gates", "gov_stability", "gov_blockers",
     "report_facts",
 )
 
