@@ -143,6 +143,33 @@ def test_lines_match_brute_force(spark, edits):
             assert d not in kept
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_short_lines_match_brute_force(spark, edits):
+    rng = random.Random(edits)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrsté") for _ in range(rng.randrange(2 * edits + 8))) for _ in range(110)]
+    texts = ["\n".join(lines[i:i + 8]) for i in range(0, len(lines), 8)] + [None, "", "\t \n  ", "All rights reserved.", "All rights reserved.\nx"]
+    at = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    distinct = sorted({x for _, _, x in at})
+    top = groups(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if distance(a, b, edits) <= edits])
+    first = {}
+    for d, n, x in at:
+        first.setdefault(top[x], (d, n))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_dedup.duplicate_lines(frame(spark, texts), edits).collect()}
+    assert got == {(d, n): first[top[x]] for d, n, x in at}
+    kept = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, texts), edits).collect()}
+    end = len(texts)
+    assert kept[end - 3] == "\t \n  " and end - 1 not in kept and (edits, kept[end - 2]) == (edits, "All rights reserved.")
+
+
+def test_lines_of_the_twin(spark):
+    from tests.compare import connect, differences
+    from tests.conftest import SF_TINY
+
+    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet")
+    got = line_dedup.duplicate_lines(docs, 1, line_dedup.MIN_CHARS).select("doc_id", "line_no", "class_doc", "class_line", "kept")
+    assert differences(got, connect(SF_TINY), line_dedup.ORACLE_SQL) == []
+
+
 def test_lines_of_odd_rows(spark):
     line = "the same long line of words again"
     rows = spark.createDataFrame([(None, line), (3, line + "\nother words in another long line"), (3, line)], "doc_id long, text string")

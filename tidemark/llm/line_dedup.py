@@ -1,21 +1,24 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``min_chars`` characters that are equal or within ``max_edits`` edits
-of each other form classes (links join transitively); a class keeps its first line, by
-document id and line number.  A line is split into ``max_edits + 1`` segments; a line
-within that many edits must contain one of them unchanged, close to its old place.  Each
-distinct line posts its segments under (length, segment, text hash) and probes the
-substrings that can meet a segment of a line as long as itself or shorter by up to
-``max_edits``; lines that meet are verified by Spark's ``levenshtein`` with a threshold,
-which computes only the band around the diagonal.
+Lines that are equal or within ``max_edits`` edits of each other form classes (links join
+transitively); a class keeps its first line, by document id and line number.  A line is
+split into ``max_edits + 1`` segments; a line within that many edits must contain one of
+them unchanged, close to its old place.  Each distinct line posts its segments under
+(length, segment, text hash) and probes the substrings that can meet a segment of a line
+as long as itself or shorter by up to ``max_edits``; lines that meet are verified by
+Spark's ``levenshtein`` with a threshold, which computes only the band around the
+diagonal.  Lines of ``max_edits`` characters or fewer have no such segments: they are all
+within that many edits of each other and meet under one key, and meet a longer line under
+a character that both hold.
 
 Only built-in functions are used.  Equal lines count as one (by 128-bit digest) before
 anything is joined; lists with many lines are resolved by ``components.connect`` without
 writing out their pairs.
 
-Defined cases: null text has no lines; empty, blank and shorter lines are never touched;
-rows that repeat an id and a text are one occurrence and fare alike; rows without an id
-come first; a text without dropped lines stays as it is, and extra columns pass through.
+Defined cases: null text has no lines; empty and blank lines are never touched, nor those
+shorter than ``min_chars`` where a caller sets it; rows that repeat an id and a text are
+one occurrence and fare alike; rows without an id come first; a text without dropped lines
+stays as it is, and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from tidemark.llm.words import let, plain_names, text_of
 from tidemark.workspace import Workspace
 
 MAX_EDITS = 1
+#: Least length of a line that the SQL twin looks at; the operator looks at every non-blank line.
 MIN_CHARS = 24
 
 
@@ -36,9 +40,9 @@ def digest(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id line_no line`` of every line long enough."""
+    """``doc_id line_no line`` of every non-blank line of ``min_chars`` characters or more."""
     lines = plain_names(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^ \t-\r]"))
 
 
 def cases_of(max_edits: int) -> list[tuple[int, int, int]]:
@@ -70,9 +74,19 @@ def keys_of(line: Column, max_edits: int) -> Column:
         short = ((target - rest) / parts).cast("int")
         start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + case["shift"]
         length = short + F.when(i >= parts - rest, 1).otherwise(0)
-        return F.when((start >= 0) & (start + length <= size), F.xxhash64(target, i, F.substr(line, start + 1, length)))
+        return F.when((target >= parts) & (start >= 0) & (start + length <= size), F.xxhash64(target, i, F.substr(line, start + 1, length)))
 
-    return F.array_distinct(F.array_compact(let(F.length(line), lambda size: F.transform(cases, lambda c: key(size, c)))))
+    keys = F.array_compact(let(F.length(line), lambda size: F.transform(cases, lambda c: key(size, c))))
+    return F.array_distinct(F.when(F.length(line) > 2 * max_edits, keys).otherwise(F.concat(keys, short_keys(line, max_edits))))
+
+
+def short_keys(line: Column, max_edits: int) -> Column:
+    """Array of the keys under which a line meets those of ``max_edits`` characters or fewer."""
+    size = F.length(line)
+    short = size <= max_edits
+    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, max_edits + 1)]), lambda n: F.when(short, n == size).otherwise(size - n <= max_edits))
+    held = F.flatten(F.transform(lengths, lambda n: F.transform(F.split(line, ""), lambda c: F.xxhash64(F.lit(-2), n, c))))
+    return F.when(short, F.concat(F.array(F.xxhash64(F.lit(-1))), held)).otherwise(held)
 
 
 def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, space: Workspace) -> DataFrame:
@@ -96,8 +110,8 @@ def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, sp
         "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n")
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id line_no lid class_doc class_line kept`` of every line long enough."""
+def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 1) -> DataFrame:
+    """``doc_id line_no lid class_doc class_line kept`` of every non-blank line long enough."""
     space = Workspace(docs.sparkSession)
     inst = space.stage(lines_of(docs, min_chars).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
     found = space.stage(classes(inst, docs, min_chars, max_edits, space), "classes")
@@ -108,7 +122,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
         (alone | (F.col("class_doc").eqNullSafe(F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))).alias("kept"))
 
 
-def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 1) -> DataFrame:
     """The documents, all columns kept, without their dropped lines.
 
     A document that had words and has none left goes as a whole.
