@@ -161,6 +161,34 @@ def test_short_lines_match_brute_force(spark, edits):
     assert kept[end - 3] == "\t \n  " and end - 1 not in kept and (edits, kept[end - 2]) == (edits, "All rights reserved.")
 
 
+def test_lines_with_edits_by_length_match_brute_force(spark):
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrsté ") for _ in range(n)).replace("  ", "xy") for n in [*range(1, 60, 3), *range(60, 200, 6)]]
+    for base in lines[:]:
+        for most in (1, len(base) // 20, len(base) // 20 + 1, 9):
+            line = base
+            for _ in range(most):
+                at = rng.randrange(len(line) + 1)
+                line = line[:at] + rng.choice(["", "z", "zz"]) + line[at + rng.randrange(2):]
+            lines.append(line)
+    lines += ["the committee approved the annual budget for public schools in the northern district on monday evening after a debate" + x
+              for x in ("", " today")]  # 5 and 6 edits are allowed and needed
+    lines.append(lines[-2].replace("annual", "yearly"))
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i:i + 7]) for i in range(0, len(lines), 7)]
+    at = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.strip()]
+    distinct = sorted({x for _, _, x in at})
+    most = lambda a, b: min(8, max(1, min(len(a), len(b)) // 20))
+    top = groups(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:]
+                            if abs(len(a) - len(b)) <= 8 and distance(a, b, most(a, b)) <= most(a, b)])
+    first = {}
+    for d, n, x in at:
+        first.setdefault(top[x], (d, n))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_dedup.duplicate_lines(frame(spark, texts)).collect()}
+    assert got == {(d, n): first[top[x]] for d, n, x in at}
+    assert len({*first.values()}) < len(distinct) - 40
+
+
 def test_lines_of_the_twin(spark):
     from tests.compare import connect, differences
     from tests.conftest import SF_TINY

@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join.
 
 Lines that are equal or within ``max_edits`` edits of each other form classes (links join
-transitively); a class keeps its first line, by document id and line number.  A line is
-split into ``max_edits + 1`` segments; a line within that many edits must contain one of
-them unchanged, close to its old place.  Each distinct line posts its segments under
-(length, segment, text hash) and probes the substrings that can meet a segment of a line
-as long as itself or shorter by up to ``max_edits``; lines that meet are verified by
-Spark's ``levenshtein`` with a threshold, which computes only the band around the
-diagonal.  Lines of ``max_edits`` characters or fewer have no such segments: they are all
+transitively); a class keeps its first line, by document id and line number.  Unless the
+caller sets one number for all, the shorter line of a pair sets the edits: one for each
+``CHARS_PER_EDIT`` characters, at least one and at most ``MAX_EDITS``, what one changed
+word needs.  A line is split into one segment more than its edits; a line within that many
+edits must contain one of them unchanged, close to its old place.  Each distinct line
+posts its segments under (length, segment, text hash) and probes the substrings that can
+meet a segment of a line as long as itself or shorter by as many as that one's edits;
+lines that meet are verified by Spark's ``levenshtein`` with a threshold, which computes
+only the band around the diagonal.  Lines of ``max_edits`` characters or fewer have no such segments: they are all
 within that many edits of each other and meet under one key, and meet a longer line under
 a character that both hold.
 
@@ -30,7 +32,8 @@ from tidemark.llm.components import connect
 from tidemark.llm.words import let, plain_names, text_of
 from tidemark.workspace import Workspace
 
-MAX_EDITS = 1
+MAX_EDITS = 8
+CHARS_PER_EDIT = 20
 #: Least length of a line that the SQL twin looks at; the operator looks at every non-blank line.
 MIN_CHARS = 24
 
@@ -58,26 +61,44 @@ def cases_of(max_edits: int) -> list[tuple[int, int, int]]:
     return cases
 
 
-def keys_of(line: Column, max_edits: int) -> Column:
+def allowed(length: Column, max_edits: int | None) -> Column:
+    """Edits allowed between a line of this length and one as long or longer."""
+    if max_edits is not None:
+        return F.lit(max_edits)
+    return F.least(F.lit(MAX_EDITS), F.greatest(F.lit(1), F.floor(length / CHARS_PER_EDIT).cast("int")))
+
+
+def keys_of(line: Column, max_edits: int | None) -> Column:
     """Array of the hashed index and probe keys of a line.
 
     Segments are even; the last ones take the rest of the length.  One lambda over the
     cases keeps the generated code small enough to be compiled.
     """
-    parts = max_edits + 1
-    cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("less", "i", "shift"), c, strict=True)])
-                      for c in cases_of(max_edits)])
+    levels = range(1, MAX_EDITS + 1) if max_edits is None else [max_edits]
+    names = ("edits", "less", "i", "shift")
+    level = {k: [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (k, *c), strict=True)]) for c in cases_of(k)] for k in levels}
+
+    def cases(size: Column) -> Column:
+        """Those of the line's own level, and of the one below if a shorter line can be of it."""
+        if max_edits is not None:
+            return F.array(*level[max_edits])
+        own, least = allowed(size, None), allowed(size - MAX_EDITS, None)
+        one = F.array(*[F.array(*level[k]) for k in levels])
+        two = F.array(*[F.array(*level.get(k - 1, []), *level[k]) for k in levels])
+        return F.when(own == least, F.get(one, own - 1)).otherwise(F.get(two, own - 1))
 
     def key(size: Column, case: Column) -> Column:
-        target, i = size - case["less"], case["i"]
+        parts, target, i = case["edits"] + 1, size - case["less"], case["i"]
         rest = target % parts
         short = ((target - rest) / parts).cast("int")
         start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + case["shift"]
         length = short + F.when(i >= parts - rest, 1).otherwise(0)
-        return F.when((target >= parts) & (start >= 0) & (start + length <= size), F.xxhash64(target, i, F.substr(line, start + 1, length)))
+        real = (case["edits"] == allowed(target, max_edits)) & (target >= parts) & (start >= 0) & (start + length <= size)
+        return F.when(real, F.xxhash64(target, i, F.substr(line, start + 1, length)))
 
-    keys = F.array_compact(let(F.length(line), lambda size: F.transform(cases, lambda c: key(size, c))))
-    return F.array_distinct(F.when(F.length(line) > 2 * max_edits, keys).otherwise(F.concat(keys, short_keys(line, max_edits))))
+    keys = F.array_compact(let(F.length(line), lambda size: F.transform(cases(size), lambda c: key(size, c))))
+    reach = 1 if max_edits is None else max_edits  # longest line without segments
+    return F.array_distinct(F.when(F.length(line) > 2 * reach, keys).otherwise(F.concat(keys, short_keys(line, reach))))
 
 
 def short_keys(line: Column, max_edits: int) -> Column:
@@ -89,7 +110,7 @@ def short_keys(line: Column, max_edits: int) -> Column:
     return F.when(short, F.concat(F.array(F.xxhash64(F.lit(-1))), held)).otherwise(held)
 
 
-def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, space: Workspace) -> DataFrame:
+def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int | None, space: Workspace) -> DataFrame:
     """``lid doc_id line_no n``: each distinct line's class by its first line, and the class's lines."""
     distinct = space.stage(inst.groupBy("lid").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
@@ -101,8 +122,11 @@ def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, sp
     lines = space.stage(texts.select("node", "line").join(posted.select("node").distinct(), "node", "left_semi")
                         .groupBy("node").agg(F.min("line").alias("line")), "lines")
 
-    found = connect(posted.select("key", "node", F.xxhash64("node").alias("weight")), lines,
-                    lambda x, y: F.levenshtein(x["line"], y["line"], max_edits) >= 0, space)
+    def linked(x: Column, y: Column) -> Column:
+        edits = F.levenshtein(x["line"], y["line"], MAX_EDITS if max_edits is None else max_edits)
+        return (edits >= 0) & (edits <= allowed(F.least(F.length(x["line"]), F.length(y["line"])), max_edits))
+
+    found = connect(posted.select("key", "node", F.xxhash64("node").alias("weight")), lines, linked, space)
     merged = distinct.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     merged = space.stage(merged, "merged")
     heads = merged.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
@@ -110,7 +134,7 @@ def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int, sp
         "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n")
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 1) -> DataFrame:
+def duplicate_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """``doc_id line_no lid class_doc class_line kept`` of every non-blank line long enough."""
     space = Workspace(docs.sparkSession)
     inst = space.stage(lines_of(docs, min_chars).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
@@ -122,7 +146,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
         (alone | (F.col("class_doc").eqNullSafe(F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))).alias("kept"))
 
 
-def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = 1) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """The documents, all columns kept, without their dropped lines.
 
     A document that had words and has none left goes as a whole.
