@@ -235,6 +235,24 @@ def test_phrases_match_brute_force(spark, corpus, window, shard):
         assert out[d] == (kept.decode() if removed else texts[d])
 
 
+def test_phrase_shards_bound_the_texts_of_a_task(spark, monkeypatch):
+    rng = random.Random(5)
+    run, passage = prose(rng, 30), prose(rng, 50)
+    texts = [" ".join(prose(rng, 40) + run + prose(rng, 40)) for _ in range(60)]
+    texts += [" ".join(prose(rng, 20) + passage + prose(rng, 20)) for _ in range(4)]
+    sizes, located = [], phrases.located
+
+    def spy(routed, found, window):
+        sizes.extend(r["count"] for r in routed.groupBy("shard").count().collect())
+        return located(routed, found, window)
+
+    monkeypatch.setattr(phrases, "located", spy)
+    got = {r.doc_id: r for r in phrases.repeats(frame(spark, texts), shard_load=1000).collect()}
+    assert sum(sizes) >= 60 and max(sizes) <= 20  # far under 40,000 windows recur, which was one shard
+    for d, (n, removed, kept) in enumerate(brute_repeats(texts, 35)):
+        assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (n, removed, hashlib.sha256(kept).hexdigest())
+
+
 def test_phrases_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = spark.createDataFrame([(None, text), (7, text + " end"), (7, "other"), (8, None)], "doc_id long, text string")

@@ -12,8 +12,9 @@ each tile met is extended word by word: a stretch of at least a window that agre
 passage is an occurrence, and its words are removed.
 
 Equal texts are one text with copies: if it has a window, all its words recur.  Shards hold
-a bounded number of recurring windows, so automata stay small however many there are, and a
-window of a text belongs to the text's shard, so no text meets more than one automaton.
+a bounded number of recurring windows and of words on average, so automata and the texts a
+task holds stay small however many there are, and a window of a text belongs to the text's
+shard, so no text meets more than one automaton.
 
 Defined cases: null or empty text has no words; texts shorter than a window lose nothing;
 repeated rows are copies of each other; rows without an id are treated like any other; an
@@ -37,6 +38,8 @@ ANCHOR = 8
 #: Longest tile of which every window holds a whole one: 2 * TILE - 1 <= WINDOW.
 TILE = (WINDOW + 1) // 2
 SHARD_WINDOWS = 40_000
+#: Words and eighths of bytes of a shard's texts, which one task holds as word lists.
+SHARD_LOAD = 4_000_000
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -230,7 +233,8 @@ def located(routed: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
             .applyInArrow(run, "whole binary, spans array<struct<start:int,end:int>>, kept_sha256 string"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_windows: int = SHARD_WINDOWS,
+            shard_load: int = SHARD_LOAD) -> DataFrame:
     """``doc_id n_words n_removed spans kept_sha256 whole`` of every document.
 
     ``spans`` are the removed words (word positions), ``whole`` the digest of the text's words.
@@ -257,7 +261,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     windows = candidate_windows(routed, window, anchor)
     seen = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("fp"))).where("n > 1 OR many")
     recurring = space.stage(seen.select("fp", "part", "place"), "recurring")
-    shards = space.rows["recurring"] // shard_windows + 1
+    load = routed.agg(F.sum("load")).first()[0] or 0
+    shards = max(space.rows["recurring"] // shard_windows, load // shard_load) + 1
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
     phrases = (recurring.select(shard("part"), "fp", "part", "place").groupBy("shard", "fp")
                .agg(F.min(F.struct("part", "place")).alias("at"))
@@ -277,17 +282,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
 
 
 def _own_texts(joined: DataFrame) -> DataFrame:
-    """Rows whose text has the digest they were joined for (ids may repeat), with the digest."""
+    """Rows whose text has the digest they were joined for (ids may repeat), with the digest and the load in a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes = [hashlib.sha256(b" ".join((t.as_py() or b"").split())).digest() for t in batch.column("text")]
+            wholes, loads = [], []
+            for t in batch.column("text"):
+                text = t.as_py() or b""
+                words = text.split()
+                wholes.append(hashlib.sha256(b" ".join(words)).digest())
+                loads.append(len(words) + len(text) // 8)
             own = [w[:8] == p.as_py() for w, p in zip(wholes, batch.column("part"), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(wholes, pa.binary()), batch.column("text"), batch.column("repeated")],
-                names=["doc_id", "whole", "text", "repeated"]).filter(pa.array(own, pa.bool_()))
+                [batch.column("doc_id"), pa.array(wholes, pa.binary()), batch.column("text"), batch.column("repeated"), pa.array(loads, pa.int64())],
+                names=["doc_id", "whole", "text", "repeated", "load"]).filter(pa.array(own, pa.bool_()))
 
-    return joined.mapInArrow(run, f"doc_id {_kind(joined)}, whole binary, text binary, repeated array<long>")
+    return joined.mapInArrow(run, f"doc_id {_kind(joined)}, whole binary, text binary, repeated array<long>, load long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
