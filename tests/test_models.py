@@ -344,3 +344,47 @@ def test_boosting_stops_early_on_held_out_rows(spark):
     full = learners.boosted_trees(max_iter=12, max_depth=2).fit(train)
     early = learners.boosted_trees(max_iter=12, max_depth=2, validation_fraction=0.1).fit(train)
     assert full.getNumTrees == 12 and early.getNumTrees < 12
+
+
+@pytest.mark.parametrize("name", [
+    "model_gbt", "model_rf", "compare_models", "assisted_eval", "importance_gain", "permutation_importance", "wf_forest", "loss_curve"])
+def test_registered_models_use_the_defaults(spark, monkeypatch, name):
+    from tests.conftest import SF_TINY
+    from tidemark.operators import walkforward
+    from tidemark.plans import catalog
+
+    used = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        raise Stop
+
+    def spy(*names, **params):
+        used.append(params)
+        return learners.Learner("spy", stop)
+
+    for factory in ("boosted_trees", "random_forest", "walk_forward_forest"):
+        monkeypatch.setattr(learners, factory, spy)
+    monkeypatch.setattr(compare, "compare_models", stop)
+    monkeypatch.setattr(walkforward, "walk_forward", stop)
+    with pytest.raises(Stop):
+        catalog.queries()[name](spark, SF_TINY)
+    assert used and not any(used)
+
+
+def test_registered_search_uses_the_whole_grids(spark, monkeypatch):
+    from tests.conftest import SF_TINY
+    from tidemark.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    def search(matrix, families):
+        assert {k: grid for k, (_, grid) in families.items()} == {"HistGBR": compare.BOOSTING_GRID, "RandomForest": compare.FOREST_GRID}
+        raise Stop
+
+    monkeypatch.setattr(compare, "grid_search", search)
+    with pytest.raises(Stop):
+        catalog.queries()["grid_search"](spark, SF_TINY)

@@ -17,10 +17,6 @@ from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
 from tidemark.sources.tables import write_table
 
-# Small ensembles: the registered queries show the operators, not the best fit.
-SMALL_TREES = {"max_depth": 5, "max_iter": 8, "min_samples_leaf": 20, "max_bins": 64}
-SMALL_FOREST = {"n_estimators": 12, "max_depth": 8, "max_bins": 64}
-
 _BY_SPLIT = """count(*) AS n_rows, round(avg(abs(y-p)),4) AS mae, round(sqrt(avg((y-p)*(y-p))),4) AS rmse,
        round(1 - sum((y-p)*(y-p))/nullif(var_pop(y)*count(*),0),4) AS r2,
        round(avg(CASE WHEN abs(y)>100 THEN abs((y-p)/y) END),4) AS mape,
@@ -53,12 +49,12 @@ def _compared(q: Inputs, *models: learners.Learner):
 
 @query()
 def model_gbt(spark, sf_dir):
-    return _compared(Inputs(spark, sf_dir), learners.boosted_trees(**SMALL_TREES))
+    return _compared(Inputs(spark, sf_dir), learners.boosted_trees())
 
 
 @query()
 def model_rf(spark, sf_dir):
-    return _compared(Inputs(spark, sf_dir), learners.random_forest(**SMALL_FOREST))
+    return _compared(Inputs(spark, sf_dir), learners.random_forest())
 
 
 @query()
@@ -74,7 +70,7 @@ def model_enet(spark, sf_dir):
 @query()
 def compare_models(spark, sf_dir):
     return _compared(
-        Inputs(spark, sf_dir), learners.boosted_trees(**SMALL_TREES), learners.random_forest(**SMALL_FOREST),
+        Inputs(spark, sf_dir), learners.boosted_trees(), learners.random_forest(),
         learners.ridge(), learners.elastic_net())
 
 
@@ -183,8 +179,8 @@ def assisted_eval(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     matrix = prepare_matrix(q.clean, q.bounds, policy.assisted_policy(q.clean.schema), rows=q.size)
     found = compare.compare_models(matrix, [
-        learners.boosted_trees("AssistedHistGBR", **SMALL_TREES),
-        learners.random_forest("AssistedRandomForest", **SMALL_FOREST)])
+        learners.boosted_trees("AssistedHistGBR"),
+        learners.random_forest("AssistedRandomForest")])
     results = q.workspace.stage(
         found.results.select("model", "val_mae", "val_rmse", "test_mae", "test_rmse"), "results")
     matrix.release()
@@ -197,7 +193,7 @@ def width_guard(spark, sf_dir):
     """A learner that does not take so wide a matrix is skipped with a reason."""
     q = Inputs(spark, sf_dir, (*KEYS, "bedrooms", "propertyType"))
     matrix = prepare_matrix(q.clean, q.bounds, policy.FeatureSpec(("bedrooms",), ("propertyType",)), rows=q.size)
-    found = compare.compare_models(matrix, [learners.naive_median(), learners.boosted_trees(**SMALL_TREES, max_dim=3)])
+    found = compare.compare_models(matrix, [learners.naive_median(), learners.boosted_trees(max_dim=3)])
     matrix.release()
     return compare.skipped_table(spark, found.skipped)
 
@@ -217,8 +213,8 @@ def grid_search(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     matrix = _mainline_matrix(q)
     trials = compare.grid_search(matrix, {
-        "HistGBR": (learners.boosted_trees, compare.parameter_grid(max_depth=[3, 5], max_iter=[4], max_bins=[32])),
-        "RandomForest": (learners.random_forest, compare.parameter_grid(max_depth=[5], n_estimators=[6, 10], max_bins=[32])),
+        "HistGBR": (learners.boosted_trees, compare.BOOSTING_GRID),
+        "RandomForest": (learners.random_forest, compare.FOREST_GRID),
     })
     results = q.workspace.stage(trials, "trials")
     matrix.release()
@@ -229,7 +225,7 @@ def grid_search(spark, sf_dir):
 def importance_gain(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     matrix = _mainline_matrix(q)
-    model = learners.random_forest(**SMALL_FOREST).fit(matrix.of("train"))
+    model = learners.random_forest().fit(matrix.of("train"))
     matrix.release()
     return rounded(importance.gain_importance(spark, model, matrix.prep.feature_names), 8)
 
@@ -250,7 +246,7 @@ def even_sample(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     matrix = _mainline_matrix(q)
-    model = learners.random_forest(**SMALL_FOREST).fit(matrix.of("train"))
+    model = learners.random_forest().fit(matrix.of("train"))
     sample = q.workspace.stage(importance.even_sample(matrix.of("val"), q.workspace), "sample")
     matrix.release()
     return rounded(importance.permutation_importance(model, sample, matrix.prep.feature_names))
@@ -288,7 +284,7 @@ def wf_forest(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     folds = walk_forward_folds(q.clean)
     return rounded(walkforward.walk_forward(
-        q.clean, folds, [learners.walk_forward_forest(**SMALL_FOREST), learners.ridge()],
+        q.clean, folds, [learners.walk_forward_forest(), learners.ridge()],
         policy.mainline_policy(q.clean.schema)))
 
 
@@ -331,7 +327,7 @@ def loss_curve(spark, sf_dir):
     q = Inputs(spark, sf_dir)
     matrix = _mainline_matrix(q)
     train = matrix.of("train")
-    curve = history.loss_curve(learners.boosted_trees(**SMALL_TREES).fit(train), train)
+    curve = history.loss_curve(learners.boosted_trees().fit(train), train)
     matrix.release()
     return rounded(curve)
 
