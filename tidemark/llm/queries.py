@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, cotrain, decontaminate, line_dedup, near_dups, packing, phrases, quality_rules, secrets, toxicity
+from tidemark.llm import (
+    chat, cotrain, decontaminate, exact_dedup, line_dedup, near_dups, packing, phrases, quality_rules, secrets, spelling, toxicity,
+    turn_repair,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +54,21 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.op10_chat_formatting(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.op11_exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_structure_repair(spark, sf_dir):
+    return turn_repair.op12_structure_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.op13_spelling_variants(table(spark, sf_dir, "documents"))
+
+
 RUNS = (op1_quality_rules, op2_quality_classifier, op3_minhash_dedup, op4_toxicity, op5_decontamination,
-        op6_line_dedup, op7_packing, op8_secret_scans, op9_repeated_phrases, op10_chat_formatting)
+        op6_line_dedup, op7_packing, op8_secret_scans, op9_repeated_phrases, op10_chat_formatting,
+        op11_exact_dedup, op12_structure_repair, op13_spelling_variants)
 
 #: SQL can't express the fitted operators (2, 4) nor the salted ranks of packing (7).
 SQL = {
@@ -63,6 +79,9 @@ SQL = {
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_repeated_phrases": phrases.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_structure_repair": turn_repair.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
 
 
