@@ -13,7 +13,7 @@ Distances between such bits never exceed the true ones, so no near word is lost,
 and points are compared by counting bits.
 
 Trees are spread over tasks.  Each length has a top tree of about one leaf per ``CELL``
-words, split on a hash-ordered sample of at most ``SAMPLE`` words (which only sets where
+words, split on a sample of about ``SAMPLE`` words chosen by hash (which only sets where
 the cuts lie); a word goes to its own leaf and as a question to the leaves that its box
 query reaches, and each leaf is searched by a k-d tree of its own in one task.
 
@@ -255,7 +255,9 @@ def top_trees(vocabulary: DataFrame, cell: int = CELL, sample: int = SAMPLE) ->
              .where(F.col("n") > cell).collect()}
     if not sizes:
         return {}
-    drawn = vocabulary.where(F.length("word").isin(list(sizes))).select("word").orderBy(F.xxhash64("word"), "word").limit(sample)
+    # Every task sends only the words whose hash falls into the sample's share.
+    share = int(min(1.0, sample / sum(sizes.values())) * (1 << 31))
+    drawn = vocabulary.where(F.length("word").isin(list(sizes)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 31)) < share)).select("word").orderBy("word")
     return {size: TopTree(bits_of(letters_of(words)), -(-sizes[size] // cell))
             for size, words in _by_length([r.word for r in drawn.collect()]).items()}
 
