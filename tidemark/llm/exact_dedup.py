@@ -83,8 +83,9 @@ def exact_duplicates(docs: DataFrame, normal: Callable[[Column], Column] = uncha
     rows = space.stage(rows.select(
         "doc_id", "shared", (digest if all_digests else F.when(F.col("shared"), digest)).alias("digest"),
         F.monotonically_increasing_id().alias("row")), "rows")
-    groups = rows.where("shared").groupBy("digest").agg(
-        F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Written out, so that the join below has plain shuffles on both sides and AQE can split a hot digest.
+    groups = space.stage(rows.where("shared").groupBy("digest").agg(
+        F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     met = rows.where("shared").join(groups, "digest", "left")
     alone = F.col("last").isNull()
     decided = met.select(
