@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import components, line_dedup, near_dups, phrases
 from tidemark.workspace import Workspace
@@ -112,90 +113,90 @@ def distance(a, b, most):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_lines_match_brute_force(spark, edits):
-    rng = random.Random(edits)
-    lines = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(8, 14))) for _ in range(40)]
-    for _ in range(120):
-        line = list(rng.choice(lines))
-        for _ in range(rng.randrange(0, 3)):
-            at = rng.randrange(len(line))
-            line[at:at + rng.randrange(0, 2)] = [rng.choice("abcdé")] * rng.randrange(0, 2)
-        lines.append("".join(line))
-    rng.shuffle(lines)
-    texts = ["\n".join(lines[i:i + 8]) for i in range(0, len(lines), 8)] + [None, "", "short\n\n", lines[0]]
-    at = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if len(x) >= 8]
+def words_in(line):
+    return line.strip(" \t\n\x0b\f\r").split()
+
+
+def brute_lines(texts, max_edits, words_per_edit):
+    """First place of the class of every non-blank line."""
+    at = [(d, n, tuple(words_in(x))) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if words_in(x)]
     distinct = sorted({x for _, _, x in at})
-    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if distance(a, b, edits) <= edits]
+    most = lambda a, b: min(max_edits, min(len(a), len(b)) // words_per_edit)
+    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:]
+             if most(a, b) and distance(a, b, most(a, b)) <= most(a, b)]
     top = groups(distinct, links)
     first = {}
     for d, n, x in at:
         first.setdefault(top[x], (d, n))
+    return {(d, n): first[top[x]] for d, n, x in at}, len(links)
+
+
+def edited_line(rng, words, edits, letters):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words) + 1)
+        words[at:at + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+    return words
+
+
+@pytest.mark.parametrize("max_edits,words_per_edit", [(1, 4), (2, 8), (2, 2), (3, 5)])
+def test_lines_match_brute_force(spark, max_edits, words_per_edit):
+    rng = random.Random(max_edits * 10 + words_per_edit)
+    letters = ["a", "b", "cé", "d", "e"]
+    base = [[rng.choice(letters) for _ in range(rng.randrange(1, words_per_edit * (max_edits + 2)))] for _ in range(40)]
+    base += [[rng.choice(letters) for _ in range(90)] for _ in range(3)]  # wider than 64 words
+    lines = [" ".join(w) for w in base]
+    lines += [" ".join(edited_line(rng, w, rng.randrange(max_edits + 2), letters)) for w in base * 3]
+    lines += ["\t" + rng.choice(lines).replace(" ", "  ") + " " for _ in range(10)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i:i + 8]) for i in range(0, len(lines), 8)] + [None, "", "\t \n  ", lines[0], "z"]
+    want, links = brute_lines(texts, max_edits, words_per_edit)
+    assert links > 25
     got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.kept)
-           for r in line_dedup.duplicate_lines(frame(spark, texts), edits, 8).collect()}
-    assert got == {(d, n): (*first[top[x]], first[top[x]] == (d, n)) for d, n, x in at}
-    kept = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, texts), edits, 8).collect()}
+           for r in line_dedup.duplicate_lines(frame(spark, texts), max_edits, words_per_edit).collect()}
+    assert got == {at: (*first, first == at) for at, first in want.items()}
+    kept = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, texts), max_edits, words_per_edit).collect()}
     for d, text in enumerate(texts):
-        want = "\n".join(x for n, x in enumerate((text or "").split("\n")) if len(x) < 8 or got[d, n][2])
-        if want.strip() or not (text or "").strip():
-            assert (kept[d] or "") == want
+        left = "\n".join(x for n, x in enumerate((text or "").split("\n")) if not words_in(x) or got[d, n][2])
+        if left.strip() or not (text or "").strip():
+            assert (kept[d] or "") == left
         else:
             assert d not in kept
 
 
-@pytest.mark.parametrize("edits", [1, 2, 3])
-def test_short_lines_match_brute_force(spark, edits):
-    rng = random.Random(edits)
-    lines = ["".join(rng.choice("abcdefghijklmnopqrsté") for _ in range(rng.randrange(2 * edits + 8))) for _ in range(110)]
-    texts = ["\n".join(lines[i:i + 8]) for i in range(0, len(lines), 8)] + [None, "", "\t \n  ", "All rights reserved.", "All rights reserved.\nx"]
-    at = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip()]
-    distinct = sorted({x for _, _, x in at})
-    top = groups(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if distance(a, b, edits) <= edits])
-    first = {}
-    for d, n, x in at:
-        first.setdefault(top[x], (d, n))
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_dedup.duplicate_lines(frame(spark, texts), edits).collect()}
-    assert got == {(d, n): first[top[x]] for d, n, x in at}
-    kept = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, texts), edits).collect()}
-    end = len(texts)
-    assert kept[end - 3] == "\t \n  " and end - 1 not in kept and (edits, kept[end - 2]) == (edits, "All rights reserved.")
-
-
-def test_lines_with_edits_by_length_match_brute_force(spark):
-    rng = random.Random(11)
-    lines = ["".join(rng.choice("abcdefghijklmnopqrsté ") for _ in range(n)).replace("  ", "xy") for n in [*range(1, 60, 3), *range(60, 200, 6)]]
-    for base in lines[:]:
-        for most in (1, len(base) // 20, len(base) // 20 + 1, 9):
-            line = base
-            for _ in range(most):
-                at = rng.randrange(len(line) + 1)
-                line = line[:at] + rng.choice(["", "z", "zz"]) + line[at + rng.randrange(2):]
-            lines.append(line)
-    lines += ["the committee approved the annual budget for public schools in the northern district on monday evening after a debate" + x
-              for x in ("", " today")]  # 5 and 6 edits are allowed and needed
-    lines.append(lines[-2].replace("annual", "yearly"))
-    rng.shuffle(lines)
-    texts = ["\n".join(lines[i:i + 7]) for i in range(0, len(lines), 7)]
-    at = [(d, n, x) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.strip()]
-    distinct = sorted({x for _, _, x in at})
-    most = lambda a, b: min(8, max(1, min(len(a), len(b)) // 20))
-    top = groups(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:]
-                            if abs(len(a) - len(b)) <= 8 and distance(a, b, most(a, b)) <= most(a, b)])
-    first = {}
-    for d, n, x in at:
-        first.setdefault(top[x], (d, n))
+def test_short_lines_are_equal_or_apart(spark):
+    texts = ["And.", "Les.", "Ist.\nOf.", "And.", "a b c d e f g", "a b c d e f h"]
+    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.duplicate_lines(frame(spark, texts)).collect()}
+    assert [at for at, kept in got.items() if not kept] == [(3, 0)]
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_banded_word_distance(spark, k):
+    rng = random.Random(k)
+    rows = []
+    for _ in range(250):
+        a = [rng.choice("abc") for _ in range(rng.randrange(k, 30))]
+        rows.append((a, edited_line(rng, a, rng.randrange(k + 3), "abc")))
+    rows += [(["x"] * 200, ["x"] * (200 + k)), (["x", "y"] * 100, ["y", "x"] * 100), ([], ["x"]), (["x"], [])]
+    frame_of = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for r in frame_of.select("a", "b", line_dedup.word_edits(F.col("a"), F.col("b"), k).alias("d")).collect():
+        want = distance(r.a, r.b, 300)
+        assert r.d == want if want <= k and len(r.a) >= k and r.b else r.d > k
+
+
+def test_lines_with_one_hot_list(spark):
+    """Many different lines under one key, and one line in a third of all documents."""
+    head = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{head} " + " ".join(f"t{d}x{i}" for i in range(8)) for d in range(150)] + ["the very same line"] * 80
+    texts += [texts[3].replace("t3x2", "other"), texts[9] + " more"]
+    want, links = brute_lines(texts, 2, 8)
     got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in line_dedup.duplicate_lines(frame(spark, texts)).collect()}
-    assert got == {(d, n): first[top[x]] for d, n, x in at}
-    assert len({*first.values()}) < len(distinct) - 40
-
+    assert got == want and links == 2
 
-def test_lines_of_the_twin(spark):
-    from tests.compare import connect, differences
-    from tests.conftest import SF_TINY
 
-    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet")
-    got = line_dedup.duplicate_lines(docs, 1, line_dedup.MIN_CHARS).select("doc_id", "line_no", "class_doc", "class_line", "kept")
-    assert differences(got, connect(SF_TINY), line_dedup.ORACLE_SQL) == []
+def test_lines_use_no_python(spark):
+    plan = line_dedup.op6_line_dedup(frame(spark, ["a b c", "a b c"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def test_lines_of_odd_rows(spark):
@@ -204,6 +205,13 @@ def test_lines_of_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.line_no, r.kept) for r in line_dedup.duplicate_lines(rows).collect())
     assert got == [(-1, 0, True), (3, 0, False), (3, 0, False), (3, 1, True)]
     assert line_dedup.duplicate_lines(rows.limit(0)).collect() == []
+    assert line_dedup.drop_duplicate_lines(rows.limit(0)).collect() == []
+    twice = spark.createDataFrame([(None, line), (None, line)], "doc_id long, text string")  # one occurrence, as the docstring says
+    assert [r.kept for r in line_dedup.duplicate_lines(twice).collect()] == [True, True]
+    clash = spark.createDataFrame([(1, line, "a", 0), (2, line + "\nx y", "b", 1)], "doc_id long, text string, _gone string, row long")
+    assert [tuple(r) for r in line_dedup.drop_duplicate_lines(clash).orderBy("doc_id").collect()] == [(1, line, "a", 0), (2, "x y", "b", 1)]
+    with pytest.raises(ValueError):
+        line_dedup.duplicate_lines(rows, 1, 1)
 
 
 def brute_repeats(texts, window):

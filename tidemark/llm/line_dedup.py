@@ -1,26 +1,29 @@
-"""Line dedup by a segment-partition edit join.
-
-Lines that are equal or within ``max_edits`` edits of each other form classes (links join
-transitively); a class keeps its first line, by document id and line number.  Unless the
-caller sets one number for all, the shorter line of a pair sets the edits: one for each
-``CHARS_PER_EDIT`` characters, at least one and at most ``MAX_EDITS``, what one changed
-word needs.  A line is split into one segment more than its edits; a line within that many
-edits must contain one of them unchanged, close to its old place.  Each distinct line
-posts its segments under (length, segment, text hash) and probes the substrings that can
-meet a segment of a line as long as itself or shorter by as many as that one's edits;
-lines that meet are verified by Spark's ``levenshtein`` with a threshold, which computes
-only the band around the diagonal.  Lines of ``max_edits`` characters or fewer have no such segments: they are all
-within that many edits of each other and meet under one key, and meet a longer line under
-a character that both hold.
-
-Only built-in functions are used.  Equal lines count as one (by 128-bit digest) before
-anything is joined; lists with many lines are resolved by ``components.connect`` without
-writing out their pairs.
-
-Defined cases: null text has no lines; empty and blank lines are never touched, nor those
-shorter than ``min_chars`` where a caller sets it; rows that repeat an id and a text are
-one occurrence and fare alike; rows without an id come first; a text without dropped lines
-stays as it is, and extra columns pass through.
+"""Line dedup by a segment-partition edit join over words.
+
+A line's symbols are its words (runs of non-blank characters), so lines that differ in
+blanks only are equal.  Two lines are linked if at most ``min(max_edits, words //
+words_per_edit)`` words, counted on the shorter line, must be inserted, deleted or replaced
+to make them equal; links join transitively, and a class keeps its first line, by document
+id and line number.  A line of fewer words than ``words_per_edit`` has no edits: it is
+equal to another or it is not.
+
+A line with k edits is split into k + 1 segments; a line within k edits must contain one of
+them unchanged, close to its old place.  Each line posts its segments under (number of
+words, segment, hash of the segment's words) and probes the runs of words that can meet a
+segment of a line as long as itself or shorter by as many as that one's edits.  Keys of all
+lines are counted once, with equal lines combined in each task; the few keys that
+different lines share are marked in a bitmap of fixed size, and only rows that meet it are
+listed.  Lines of a list are verified by a banded bit-parallel edit distance: the 2k + 1
+cells around the diagonal are the bits of a number that slides along with the words, so a
+line of any length needs one number for a column.
+
+Only built-in functions are used.  Lists with many lines are resolved by
+``components.connect`` without writing out their pairs.
+
+Defined cases: null text has no lines; empty and blank lines are never touched; rows that
+repeat an id and a text are one occurrence and fare alike, and so do equal lines at the same
+place of documents without an id; rows without an id come first; a text without dropped
+lines stays as it is, and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -29,161 +32,215 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connect
-from tidemark.llm.words import let, plain_names, text_of
+from tidemark.llm.exact_dedup import repeated_cells, with_repeated
+from tidemark.llm.words import let, plain_names, text_of, words_of
 from tidemark.workspace import Workspace
 
-MAX_EDITS = 8
-CHARS_PER_EDIT = 20
-#: Least length of a line that the SQL twin looks at; the operator looks at every non-blank line.
-MIN_CHARS = 24
+MAX_EDITS = 2
+WORDS_PER_EDIT = 8
 
 
-def digest(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+def digest(words: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(words, " ")))
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id line_no line`` of every non-blank line of ``min_chars`` characters or more."""
-    lines = plain_names(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
-    return lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^ \t-\r]"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``doc_id line_no line`` of every line."""
+    return plain_names(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
 
 
-def cases_of(max_edits: int) -> list[tuple[int, int, int]]:
-    """(how much shorter the other line is, segment, shift) of every key of a line."""
+def word_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id line_no words`` of every non-blank line."""
+    return lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+
+def allowed(words: Column, max_edits: int, words_per_edit: int) -> Column:
+    """Edits allowed between a line of so many words and one as long or longer."""
+    return F.least(F.lit(max_edits), (words / words_per_edit).cast("int"))
+
+
+def cases_of(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, how much shorter the other line is, segment, shift) of every key at a number of edits."""
     cases = []
-    for less in range(max_edits + 1):
-        for i in range(max_edits + 1):
-            # An unchanged segment has i edits at most before it, or max_edits - i after it.
-            shifts = {s for s in range(-max_edits, max_edits + 1) if abs(s) <= i and abs(s - less) <= max_edits - i}
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            # An unchanged segment has i edits at most before it, or edits - i after it.
+            shifts = {s for s in range(-edits, edits + 1) if abs(s) <= i and abs(s - less) <= edits - i}
             if less == 0:
                 shifts.add(0)  # the line's own segments
-            cases += [(less, i, s) for s in sorted(shifts)]
+            cases += [(edits, less, i, s) for s in sorted(shifts)]
     return cases
 
 
-def allowed(length: Column, max_edits: int | None) -> Column:
-    """Edits allowed between a line of this length and one as long or longer."""
-    if max_edits is not None:
-        return F.lit(max_edits)
-    return F.least(F.lit(MAX_EDITS), F.greatest(F.lit(1), F.floor(length / CHARS_PER_EDIT).cast("int")))
-
-
-def keys_of(line: Column, max_edits: int | None) -> Column:
+def keys_of(words: Column, max_edits: int, words_per_edit: int) -> Column:
     """Array of the hashed index and probe keys of a line.
 
     Segments are even; the last ones take the rest of the length.  One lambda over the
     cases keeps the generated code small enough to be compiled.
     """
-    levels = range(1, MAX_EDITS + 1) if max_edits is None else [max_edits]
     names = ("edits", "less", "i", "shift")
-    level = {k: [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (k, *c), strict=True)]) for c in cases_of(k)] for k in levels}
-
-    def cases(size: Column) -> Column:
-        """Those of the line's own level, and of the one below if a shorter line can be of it."""
-        if max_edits is not None:
-            return F.array(*level[max_edits])
-        own, least = allowed(size, None), allowed(size - MAX_EDITS, None)
-        one = F.array(*[F.array(*level[k]) for k in levels])
-        two = F.array(*[F.array(*level.get(k - 1, []), *level[k]) for k in levels])
-        return F.when(own == least, F.get(one, own - 1)).otherwise(F.get(two, own - 1))
-
-    def key(size: Column, case: Column) -> Column:
-        parts, target, i = case["edits"] + 1, size - case["less"], case["i"]
+    cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, case, strict=True)])
+                      for edits in range(1, max_edits + 1) for case in cases_of(edits)])
+
+    def key(codes: Column, case: Column) -> Column:
+        size, parts, i = F.size(codes), case["edits"] + 1, case["i"]
+        target = size - case["less"]
         rest = target % parts
         short = ((target - rest) / parts).cast("int")
         start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + case["shift"]
         length = short + F.when(i >= parts - rest, 1).otherwise(0)
-        real = (case["edits"] == allowed(target, max_edits)) & (target >= parts) & (start >= 0) & (start + length <= size)
-        return F.when(real, F.xxhash64(target, i, F.substr(line, start + 1, length)))
+        real = (case["edits"] == allowed(target, max_edits, words_per_edit)) & (start >= 0) & (start + length <= size)
+        return F.when(real, F.xxhash64(target, i, F.slice(codes, start + 1, length)))
+
+    codes = F.when(F.size(words) >= words_per_edit, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+    return let(codes, lambda own: F.when(F.size(own) > 0, F.array_distinct(F.array_compact(F.transform(cases, lambda c: key(own, c))))).otherwise(own))
+
+
+def word_edits(a: Column, b: Column, k: int) -> Column:
+    """Word edits between two arrays, right up to ``k``; more than ``k`` otherwise.
+
+    Bit i of a column's numbers stands for row j - k + i of column j.  ``vp`` and ``vn``
+    mark the rows whose value is one more or one less than that of the row above; the value
+    itself is followed down the band's lowest diagonal, then along the last row.
+    """
+    m, n, full = F.size(a), F.size(b), (1 << (2 * k + 1)) - 1
+    inverse = lambda x: F.bitwise_not(x).bitwiseAND(full)
+    half = lambda x: F.shiftright(x, 1)
+
+    def column(state: Column, j: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+
+        def equal_rows(word: Column) -> Column:
+            hits = [F.when(F.get(a, j + (i - k - 1)) == word, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(2 * k + 1)]
+            total = hits[0]
+            for hit in hits[1:]:
+                total = total + hit
+            return total
+
+        def after(zero: Column) -> Column:
+            """``zero``: the rows whose value is that of the row above in the column before."""
+            up, down = vn.bitwiseOR(inverse(zero.bitwiseOR(vp))), zero.bitwiseAND(vp)
+
+            def closed(up: Column, down: Column) -> Column:
+                bit = m - j + k
+                moved = F.when(j + k <= m, 1 - F.getbit(zero.cast("long"), F.lit(2 * k)).cast("int")).otherwise(
+                    F.getbit(up.cast("long"), bit).cast("int") - F.getbit(down.cast("long"), bit).cast("int"))
+                return F.struct(down.bitwiseOR(inverse(half(zero).bitwiseOR(up))).alias("vp"), half(zero).bitwiseAND(up).alias("vn"),
+                                (state["value"] + moved).alias("value"))
+
+            return let(F.struct(up.alias("up"), down.alias("down")), lambda h: closed(h["up"], h["down"]))
 
-    keys = F.array_compact(let(F.length(line), lambda size: F.transform(cases(size), lambda c: key(size, c))))
-    reach = 1 if max_edits is None else max_edits  # longest line without segments
-    return F.array_distinct(F.when(F.length(line) > 2 * reach, keys).otherwise(F.concat(keys, short_keys(line, reach))))
+        return let(equal_rows(F.get(b, j - 1)), lambda x: let(
+            (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full), after))
 
+    start = F.struct(F.lit(full & ~((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("value"))
+    far = (F.abs(m - n) > k) | (m < k) | (n == 0)
+    return F.when(far, F.greatest(m, n, F.lit(k + 1)) if k else F.lit(1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, column)["value"])
 
-def short_keys(line: Column, max_edits: int) -> Column:
-    """Array of the keys under which a line meets those of ``max_edits`` characters or fewer."""
-    size = F.length(line)
-    short = size <= max_edits
-    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, max_edits + 1)]), lambda n: F.when(short, n == size).otherwise(size - n <= max_edits))
-    held = F.flatten(F.transform(lengths, lambda n: F.transform(F.split(line, ""), lambda c: F.xxhash64(F.lit(-2), n, c))))
-    return F.when(short, F.concat(F.array(F.xxhash64(F.lit(-1))), held)).otherwise(held)
 
+def listed(inst: DataFrame, space: Workspace) -> DataFrame:
+    """``key node`` of the keys that different lines share."""
+    keys = inst.where(F.size("keys") > 0).select("lid", F.explode("keys").alias("key"))
+    mark = F.xxhash64("lid")
+    shared = space.stage(keys.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least != most").select("key"), "shared")
+    # The bitmap lets a part of the other keys through, so the exact list decides once more.
+    near = with_repeated(keys, ["key"], repeated_cells(shared.unionAll(shared), ["key"])).where("shared").select("key", "lid")
+    return near.join(shared, "key", "left_semi").distinct().withColumnRenamed("lid", "node")
 
-def classes(inst: DataFrame, docs: DataFrame, min_chars: int, max_edits: int | None, space: Workspace) -> DataFrame:
+
+def classes(inst: DataFrame, docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
     """``lid doc_id line_no n``: each distinct line's class by its first line, and the class's lines."""
     distinct = space.stage(inst.groupBy("lid").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    texts = lines_of(docs, min_chars).withColumn("node", digest(F.col("line")))
-    posted = space.stage(texts.select("node", F.explode(keys_of(F.col("line"), max_edits)).alias("key")), "keys")
-    posted = space.stage(posted.groupBy("key").agg(
-        F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key")
-        .join(posted.distinct(), "key"), "posted")
-    lines = space.stage(texts.select("node", "line").join(posted.select("node").distinct(), "node", "left_semi")
-                        .groupBy("node").agg(F.min("line").alias("line")), "lines")
+    lists = space.stage(listed(inst, space), "listed")
+    # Each listed line's words are read at its first place only.
+    places = lists.select(F.col("node").alias("lid")).distinct().join(distinct, "lid").select(
+        "lid", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
+    places = space.stage(places, "places")
+    found = word_lines(docs).where(F.size("words") >= words_per_edit)
+    lines = found.join(places, found["doc_id"].eqNullSafe(places["_doc"]) & (found["line_no"] == places["_line"])).select(
+        F.col("lid").alias("node"), "words", digest(F.col("words")).alias("own")).where("own = node")
+    lines = space.stage(lines.groupBy("node").agg(F.min("words").alias("words")), "lines")
 
     def linked(x: Column, y: Column) -> Column:
-        edits = F.levenshtein(x["line"], y["line"], MAX_EDITS if max_edits is None else max_edits)
-        return (edits >= 0) & (edits <= allowed(F.least(F.length(x["line"]), F.length(y["line"])), max_edits))
+        least = allowed(F.least(F.size(x["words"]), F.size(y["words"])), max_edits, words_per_edit)
+        return F.when(F.abs(F.size(x["words"]) - F.size(y["words"])) <= least, word_edits(x["words"], y["words"], max_edits) <= least).otherwise(False)
 
-    found = connect(posted.select("key", "node", F.xxhash64("node").alias("weight")), lines, linked, space)
-    merged = distinct.join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    joined = connect(lists.select("key", "node", F.xxhash64("node").alias("weight")), lines, linked, space)
+    merged = distinct.join(joined.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     merged = space.stage(merged, "merged")
     heads = merged.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     return merged.select("lid", "component").join(heads, "component").select(
         "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n")
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = 1) -> DataFrame:
-    """``doc_id line_no lid class_doc class_line kept`` of every non-blank line long enough."""
+def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
+    """``doc_id line_no lid class_doc class_line kept`` of every non-blank line."""
+    if words_per_edit < 2:
+        raise ValueError("a line of one word has no segments: words_per_edit is 2 at least")
     space = Workspace(docs.sparkSession)
-    inst = space.stage(lines_of(docs, min_chars).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
-    found = space.stage(classes(inst, docs, min_chars, max_edits, space), "classes")
+    words = F.col("words")
+    inst = space.stage(word_lines(docs).select("doc_id", "line_no", digest(words).alias("lid"), keys_of(words, max_edits, words_per_edit).alias("keys")), "inst")
+    found = space.stage(classes(inst, docs, max_edits, words_per_edit, space), "classes")
     alone = F.col("n").isNull()
-    return inst.join(found, "lid", "left").select(
+    return inst.drop("keys").join(found, "lid", "left").select(
         "doc_id", "line_no", "lid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_doc"),
         F.when(alone, F.col("line_no")).otherwise(F.col("class_line")).alias("class_line"),
         (alone | (F.col("class_doc").eqNullSafe(F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))).alias("kept"))
 
 
-def drop_duplicate_lines(docs: DataFrame, max_edits: int | None = None, min_chars: int = 1) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """The documents, all columns kept, without their dropped lines.
 
     A document that had words and has none left goes as a whole.
     """
     name = lambda n, lid: F.concat(n.cast("string"), F.lit(":"), F.lower(F.hex(lid)))
-    gone = (duplicate_lines(docs, max_edits, min_chars).where("NOT kept").groupBy(F.col("doc_id").alias("_id"))
+    gone = (duplicate_lines(docs, max_edits, words_per_edit).where("NOT kept").groupBy(F.col("doc_id").alias("_id"))
             .agg(F.collect_set(name(F.col("line_no"), F.col("lid"))).alias("_gone")))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    lines = F.split(text_of("text"), "\n")
-    named = F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(":"), F.md5(x)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(gone, rows["row.doc_id"].eqNullSafe(gone["_id"]), "left")
+    lines = F.split(text_of("row.text"), "\n")
+    named = F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(":"), F.lower(F.hex(digest(words_of(x))))))
     # Names start with the line's number, so the difference keeps their order.
     kept = F.transform(F.array_except(named, F.col("_gone")), lambda x: F.get(F.col("_lines"), F.substring_index(x, ":", 1).cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_new", text)
     emptied = F.col("_gone").isNotNull() & ~F.col("_new").rlike(r"[^ \t-\r]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(
-        *[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        *[F.col("_new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:
     return duplicate_lines(docs).select("doc_id", "line_no", "class_doc", "class_line", "kept")
 
 
-ORACLE_SQL = f"""
-WITH RECURSIVE i AS (SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, l[n] AS line FROM (
+def _oracle() -> str:
+    """Links of at most two edits, after the common first and last words are taken off.
+
+    What is left differs at both ends, so two edits must mend one end each.
+    """
+    ends = [(1, 1), (1, 0), (0, 1)]  # words that an edit takes from either line
+    middle = " OR ".join(
+        f"(a[p + {1 + fa}:na - s - {ba}] = b[p + {1 + fb}:nb - s - {bb}])" for fa, fb in ends for ba, bb in ends)
+    return rf"""
+WITH RECURSIVE i AS (SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, regexp_extract_all(l[n], '[^\x20\x09-\x0D]+') AS w FROM (
     SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
-x AS (SELECT * FROM i WHERE length(line) >= {MIN_CHARS}),
-u AS (SELECT line, length(line) AS n, string_split(line, '') AS c, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM x)),
-p AS (SELECT a.id AS a, b.id AS b, a.line AS la, b.line AS lb, a.n AS na, b.n AS nb,
-             coalesce(list_position(list_transform(list_zip(a.c, b.c), lambda z: z[1] IS DISTINCT FROM z[2]), true), a.n + 1) AS f
-      FROM u a JOIN u b ON (b.n = a.n AND a.id < b.id) OR b.n = a.n + 1),
-e AS (SELECT a, b FROM p WHERE substr(la, f + CASE WHEN na = nb THEN 1 ELSE 0 END) = substr(lb, f + 1)),
+x AS (SELECT * FROM i WHERE len(w) > 0),
+u AS (SELECT w, len(w) AS n, row_number() OVER (ORDER BY w) AS id FROM (SELECT DISTINCT w FROM x)),
+pairs AS (SELECT x.id AS ida, y.id AS idb, x.w AS a, y.w AS b, x.n AS na, y.n AS nb, least({MAX_EDITS}, x.n // {WORDS_PER_EDIT}) AS k
+    FROM u x JOIN u y ON y.n BETWEEN x.n AND x.n + least({MAX_EDITS}, x.n // {WORDS_PER_EDIT}) AND (x.n < y.n OR x.id < y.id) AND x.n >= {WORDS_PER_EDIT}),
+front AS (SELECT *, coalesce(list_position(list_transform(list_zip(a, b), lambda z: z[1] IS DISTINCT FROM z[2]), true), na + 1) - 1 AS p FROM pairs),
+back AS (SELECT *, least(na - p, coalesce(list_position(list_transform(list_zip(list_reverse(a), list_reverse(b)),
+    lambda z: z[1] IS DISTINCT FROM z[2]), true), na + 1) - 1) AS s FROM front),
+e AS (SELECT ida AS a, idb AS b FROM back WHERE nb - p - s <= 1 OR (k >= 2 AND (nb - p - s <= 2 OR {middle}))),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w(a, b) AS (SELECT a, a FROM s UNION SELECT w.a, s.b FROM w JOIN s ON s.a = w.b),
-g AS (SELECT a AS id, min(b) AS c FROM w GROUP BY a),
-m AS (SELECT x.doc_id, x.line_no, coalesce(g.c, u.id) AS c FROM x JOIN u USING (line) LEFT JOIN g USING (id)),
+walk(a, b) AS (SELECT a, a FROM s UNION SELECT walk.a, s.b FROM walk JOIN s ON s.a = walk.b),
+g AS (SELECT a AS id, min(b) AS c FROM walk GROUP BY a),
+m AS (SELECT x.doc_id, x.line_no, coalesce(g.c, u.id) AS c FROM x JOIN u USING (w) LEFT JOIN g USING (id)),
 k AS (SELECT *, first_value(doc_id) OVER o AS class_doc, first_value(line_no) OVER o AS class_line FROM m
       WINDOW o AS (PARTITION BY c ORDER BY doc_id, line_no))
 SELECT doc_id, line_no, class_doc, class_line, doc_id = class_doc AND line_no = class_line AS kept FROM k
 """
+
+
+ORACLE_SQL = _oracle()
