@@ -33,25 +33,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connect
 from tidemark.llm.exact_dedup import repeated_cells, with_repeated
-from tidemark.llm.words import let, plain_names, text_of, words_of
+from tidemark.llm.words import let, plain_names, text_of
 from tidemark.workspace import Workspace
 
 MAX_EDITS = 2
 WORDS_PER_EDIT = 8
 
 
-def digest(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ")))
+def digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id line_no line`` of every line."""
-    return plain_names(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
+def flat_lines(text: Column) -> Column:
+    """Array of a text's lines, words one space apart (but for a space at either end)."""
+    return F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), "\n")
 
 
-def word_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id line_no words`` of every non-blank line."""
-    return lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``doc_id line_no line`` of every non-blank line, its words joined by one space."""
+    lines = plain_names(docs, "doc_id", "text").select("doc_id", F.posexplode(flat_lines(text_of("text"))).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.btrim("line").alias("line")).where("line != ''")
 
 
 def allowed(words: Column, max_edits: int, words_per_edit: int) -> Column:
@@ -72,28 +73,24 @@ def cases_of(edits: int) -> list[tuple[int, int, int, int]]:
     return cases
 
 
-def keys_of(words: Column, max_edits: int, words_per_edit: int) -> Column:
-    """Array of the hashed index and probe keys of a line.
+def keys_of(lines: DataFrame, max_edits: int, words_per_edit: int) -> DataFrame:
+    """``lid key``: the hashed index and probe keys of every line that may have edits.
 
-    Segments are even; the last ones take the rest of the length.  One lambda over the
-    cases keeps the generated code small enough to be compiled.
+    Segments are even; the last ones take the rest of the length.
     """
     names = ("edits", "less", "i", "shift")
     cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, case, strict=True)])
                       for edits in range(1, max_edits + 1) for case in cases_of(edits)])
-
-    def key(codes: Column, case: Column) -> Column:
-        size, parts, i = F.size(codes), case["edits"] + 1, case["i"]
-        target = size - case["less"]
-        rest = target % parts
-        short = ((target - rest) / parts).cast("int")
-        start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + case["shift"]
-        length = short + F.when(i >= parts - rest, 1).otherwise(0)
-        real = (case["edits"] == allowed(target, max_edits, words_per_edit)) & (start >= 0) & (start + length <= size)
-        return F.when(real, F.xxhash64(target, i, F.slice(codes, start + 1, length)))
-
-    codes = F.when(F.size(words) >= words_per_edit, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
-    return let(codes, lambda own: F.when(F.size(own) > 0, F.array_distinct(F.array_compact(F.transform(cases, lambda c: key(own, c))))).otherwise(own))
+    rows = lines.where(F.length("line") >= 2 * words_per_edit - 1).select(digest(F.col("line")).alias("lid"), F.split("line", " ").alias("words"))
+    rows = rows.select("lid", "words", F.size("words").alias("n"), F.explode(cases).alias("c")).select("lid", "words", "n", "c.*")
+    parts, i, target = F.col("edits") + 1, F.col("i"), F.col("target")
+    rest = target % parts
+    short = ((target - rest) / parts).cast("int")
+    start = i * short + F.greatest(F.lit(0), i - (parts - rest)) + F.col("shift")
+    length = short + F.when(i >= parts - rest, 1).otherwise(0)
+    real = (F.col("edits") == allowed(target, max_edits, words_per_edit)) & (start >= 0) & (start + length <= F.col("n"))
+    return rows.withColumn("target", F.col("n") - F.col("less")).where(real).select(
+        "lid", F.xxhash64("target", "i", F.slice("words", start + 1, length)).alias("key"))
 
 
 def word_edits(a: Column, b: Column, k: int) -> Column:
@@ -138,9 +135,8 @@ def word_edits(a: Column, b: Column, k: int) -> Column:
     return F.when(far, F.greatest(m, n, F.lit(k + 1)) if k else F.lit(1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, column)["value"])
 
 
-def listed(inst: DataFrame, space: Workspace) -> DataFrame:
+def listed(keys: DataFrame, space: Workspace) -> DataFrame:
     """``key node`` of the keys that different lines share."""
-    keys = inst.where(F.size("keys") > 0).select("lid", F.explode("keys").alias("key"))
     mark = F.xxhash64("lid")
     shared = space.stage(keys.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least != most").select("key"), "shared")
     # The bitmap lets a part of the other keys through, so the exact list decides once more.
@@ -152,15 +148,14 @@ def classes(inst: DataFrame, docs: DataFrame, max_edits: int, words_per_edit: in
     """``lid doc_id line_no n``: each distinct line's class by its first line, and the class's lines."""
     distinct = space.stage(inst.groupBy("lid").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    lists = space.stage(listed(inst, space), "listed")
-    # Each listed line's words are read at its first place only.
-    places = lists.select(F.col("node").alias("lid")).distinct().join(distinct, "lid").select(
-        "lid", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
-    places = space.stage(places, "places")
-    found = word_lines(docs).where(F.size("words") >= words_per_edit)
-    lines = found.join(places, found["doc_id"].eqNullSafe(places["_doc"]) & (found["line_no"] == places["_line"])).select(
-        F.col("lid").alias("node"), "words", digest(F.col("words")).alias("own")).where("own = node")
-    lines = space.stage(lines.groupBy("node").agg(F.min("words").alias("words")), "lines")
+    keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys")
+    lists = space.stage(listed(keys, space), "listed")
+    # Only listed lines leave the scan: a bitmap of their digests is met first, then the digests themselves.
+    nodes = space.stage(lists.select("node").distinct(), "nodes")
+    cells = space.stage(repeated_cells(nodes.unionAll(nodes), ["node"]), "cells")
+    lines = with_repeated(lines_of(docs).select(digest(F.col("line")).alias("node"), "line"), ["node"], cells).where("shared")
+    lines = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    lines = space.stage(lines.select("node", F.split("line", " ").alias("words")), "lines")
 
     def linked(x: Column, y: Column) -> Column:
         least = allowed(F.least(F.size(x["words"]), F.size(y["words"])), max_edits, words_per_edit)
@@ -179,11 +174,10 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit:
     if words_per_edit < 2:
         raise ValueError("a line of one word has no segments: words_per_edit is 2 at least")
     space = Workspace(docs.sparkSession)
-    words = F.col("words")
-    inst = space.stage(word_lines(docs).select("doc_id", "line_no", digest(words).alias("lid"), keys_of(words, max_edits, words_per_edit).alias("keys")), "inst")
+    inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
     found = space.stage(classes(inst, docs, max_edits, words_per_edit, space), "classes")
     alone = F.col("n").isNull()
-    return inst.drop("keys").join(found, "lid", "left").select(
+    return inst.join(found, "lid", "left").select(
         "doc_id", "line_no", "lid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_doc"),
         F.when(alone, F.col("line_no")).otherwise(F.col("class_line")).alias("class_line"),
         (alone | (F.col("class_doc").eqNullSafe(F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))).alias("kept"))
@@ -200,7 +194,8 @@ def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(gone, rows["row.doc_id"].eqNullSafe(gone["_id"]), "left")
     lines = F.split(text_of("row.text"), "\n")
-    named = F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(":"), F.lower(F.hex(digest(words_of(x))))))
+    flat = flat_lines(text_of("row.text"))
+    named = F.transform(flat, lambda x, i: F.concat(i.cast("string"), F.lit(":"), F.md5(F.btrim(x))))
     # Names start with the line's number, so the difference keeps their order.
     kept = F.transform(F.array_except(named, F.col("_gone")), lambda x: F.get(F.col("_lines"), F.substring_index(x, ":", 1).cast("int")))
     text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
