@@ -24,16 +24,11 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
     """``node component`` (the least node reachable) for every node of ``links`` (a, b).
 
     Alternates large-star and small-star steps (logarithmically many in practice) until
-    the edges stop changing; each step is a staged table.
+    every component is a star around its least node; each step is a staged table.
     """
     edges = space.stage(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        found = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (found.n, found.h) or not found.n:
-            break
-        before = (found.n, found.h)
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -45,6 +40,13 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at most, which itself has none."""
+    if not edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def connect(lists: DataFrame, details: DataFrame, linked: Callable[[Column, Column], Column], space: Workspace,
             survivors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node component`` of every node with a link.

@@ -3,7 +3,7 @@
 Three levels tell texts apart: length, then a hash of the first characters, then a hash
 of the whole text.  A level looks only at texts that some other text could still equal:
 the level before counts its keys with partial aggregation, and the keys that occur more
-than once mark cells of a bitmap of fixed size (``CELLS`` bits, at most 2 MB as a table).
+than once mark cells of a bitmap of fixed size (``CELLS`` bits, at most 4 MB as a table).
 The next scan meets the bitmap in a broadcast join, so no text is ever shuffled.  Cells
 are shared by hash: that can let a text through for nothing, never lose one.  Whole
 contents are hashed for survivors only, and only digests and ids are grouped; a group is
@@ -28,9 +28,9 @@ from tidemark.workspace import Workspace
 
 #: Characters under the second level's hash.
 PREFIX = 64
-#: Bits of the bitmap that carries a level's surviving keys, in rows of ``ROW`` bits.
+#: Bits of the bitmap that carries a level's surviving keys, in rows of 64 bits.
 CELLS = 1 << 24
-ROW = 1 << 15
+ROW = 64
 
 
 def unchanged(text: Column) -> Column:
@@ -43,18 +43,21 @@ def _cell(key: list[str]) -> Column:
 
 def repeated_cells(rows: DataFrame, key: list[str]) -> DataFrame:
     """``cells bits``: the bitmap of the keys that more than one row has."""
-    many = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_cell(key).alias("cell")).distinct()
-    return many.groupBy((F.col("cell") / ROW).cast("int").alias("cells")).agg(
-        F.bitmap_construct_agg(F.col("cell") % ROW).alias("bits"))
+    return cells_of(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), key)
+
+
+def cells_of(keys: DataFrame, key: list[str]) -> DataFrame:
+    """``cells bits``: the bitmap of the keys."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % ROW).cast("int"))
+    return keys.select(_cell(key).alias("cell")).groupBy(F.floor(F.col("cell") / ROW).alias("cells")).agg(F.bit_or(bit).alias("bits"))
 
 
 def with_repeated(rows: DataFrame, key: list[str], bitmap: DataFrame) -> DataFrame:
-    """The rows with ``shared``: whether some other row may have the same key."""
-    byte = F.conv(F.hex(F.substr("bits", (F.col("_cell") % ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    # At most CELLS / ROW rows of 4 KB.
-    met = rows.withColumn("_cell", _cell(key)).join(F.broadcast(bitmap), (F.col("_cell") / ROW).cast("int") == F.col("cells"), "left")
-    return met.withColumn("shared", F.coalesce(F.getbit(byte, (F.col("_cell") % 8).cast("int")) == 1, F.lit(False))).drop(
-        "_cell", "cells", "bits")
+    """The rows with ``shared``: whether their key may be in the bitmap."""
+    # At most CELLS / ROW rows of two numbers, 4 MB.
+    met = rows.withColumn("_cell", _cell(key)).join(F.broadcast(bitmap), F.floor(F.col("_cell") / ROW) == F.col("cells"), "left")
+    bit = F.getbit(F.coalesce("bits", F.lit(0).cast("long")), (F.col("_cell") % ROW).cast("int"))
+    return met.withColumn("shared", bit == 1).drop("_cell", "cells", "bits")
 
 
 def refined(docs: DataFrame, normal: Callable[[Column], Column], space: Workspace) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connect
-from tidemark.llm.exact_dedup import repeated_cells, with_repeated
+from tidemark.llm.exact_dedup import cells_of, with_repeated
 from tidemark.llm.words import let, plain_names, text_of
 from tidemark.workspace import Workspace
 
@@ -44,6 +44,14 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def node_of(line: Column) -> Column:
+    """Short name of a line among the lists of keys; its digest is what names its class.
+
+    Should two lines have one name, one of them is listed and the other left alone.
+    """
+    return F.xxhash64(line)
+
+
 def flat_lines(text: Column) -> Column:
     """Array of a text's lines, words one space apart (but for a space at either end)."""
     return F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "), "\n")
@@ -74,15 +82,15 @@ def cases_of(edits: int) -> list[tuple[int, int, int, int]]:
 
 
 def keys_of(lines: DataFrame, max_edits: int, words_per_edit: int) -> DataFrame:
-    """``lid key``: the hashed index and probe keys of every line that may have edits.
+    """``node key``: the hashed index and probe keys of every line that may have edits.
 
     Segments are even; the last ones take the rest of the length.
     """
     names = ("edits", "less", "i", "shift")
     cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, case, strict=True)])
                       for edits in range(1, max_edits + 1) for case in cases_of(edits)])
-    rows = lines.where(F.length("line") >= 2 * words_per_edit - 1).select(digest(F.col("line")).alias("lid"), F.split("line", " ").alias("words"))
-    rows = rows.select("lid", "words", F.size("words").alias("n"), F.explode(cases).alias("c")).select("lid", "words", "n", "c.*")
+    rows = lines.where(F.length("line") >= 2 * words_per_edit - 1).select(node_of(F.col("line")).alias("node"), F.split("line", " ").alias("words"))
+    rows = rows.select("node", "words", F.size("words").alias("n"), F.explode(cases).alias("c")).select("node", "words", "n", "c.*")
     parts, i, target = F.col("edits") + 1, F.col("i"), F.col("target")
     rest = target % parts
     short = ((target - rest) / parts).cast("int")
@@ -90,7 +98,7 @@ def keys_of(lines: DataFrame, max_edits: int, words_per_edit: int) -> DataFrame:
     length = short + F.when(i >= parts - rest, 1).otherwise(0)
     real = (F.col("edits") == allowed(target, max_edits, words_per_edit)) & (start >= 0) & (start + length <= F.col("n"))
     return rows.withColumn("target", F.col("n") - F.col("less")).where(real).select(
-        "lid", F.xxhash64("target", "i", F.slice("words", start + 1, length)).alias("key"))
+        "node", F.xxhash64("target", "i", F.slice("words", start + 1, length)).alias("key"))
 
 
 def word_edits(a: Column, b: Column, k: int) -> Column:
@@ -137,33 +145,43 @@ def word_edits(a: Column, b: Column, k: int) -> Column:
 
 def listed(keys: DataFrame, space: Workspace) -> DataFrame:
     """``key node`` of the keys that different lines share."""
-    mark = F.xxhash64("lid")
-    shared = space.stage(keys.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least != most").select("key"), "shared")
+    shared = space.stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key"), "shared")
     # The bitmap lets a part of the other keys through, so the exact list decides once more.
-    near = with_repeated(keys, ["key"], repeated_cells(shared.unionAll(shared), ["key"])).where("shared").select("key", "lid")
-    return near.join(shared, "key", "left_semi").distinct().withColumnRenamed("lid", "node")
+    near = with_repeated(keys, ["key"], cells_of(shared, ["key"])).where("shared").select("key", "node")
+    return near.join(shared, "key", "left_semi").distinct()
+
+
+def listed_lines(docs: DataFrame, lists: DataFrame, space: Workspace) -> DataFrame:
+    """``node lid words`` of the listed lines; only they leave the scan."""
+    nodes = space.stage(lists.select("node").distinct(), "nodes")
+    cells = space.stage(cells_of(nodes, ["node"]), "cells")
+    lines = with_repeated(lines_of(docs).select(node_of(F.col("line")).alias("node"), "line"), ["node"], cells).where("shared")
+    lines = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    return space.stage(lines.select("node", digest(F.col("line")).alias("lid"), F.split("line", " ").alias("words")), "lines")
 
 
 def classes(inst: DataFrame, docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
     """``lid doc_id line_no n``: each distinct line's class by its first line, and the class's lines."""
-    distinct = space.stage(inst.groupBy("lid").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys")
     lists = space.stage(listed(keys, space), "listed")
-    # Only listed lines leave the scan: a bitmap of their digests is met first, then the digests themselves.
-    nodes = space.stage(lists.select("node").distinct(), "nodes")
-    cells = space.stage(repeated_cells(nodes.unionAll(nodes), ["node"]), "cells")
-    lines = with_repeated(lines_of(docs).select(digest(F.col("line")).alias("node"), "line"), ["node"], cells).where("shared")
-    lines = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    lines = space.stage(lines.select("node", F.split("line", " ").alias("words")), "lines")
+    lines = listed_lines(docs, lists, space)
 
     def linked(x: Column, y: Column) -> Column:
-        least = allowed(F.least(F.size(x["words"]), F.size(y["words"])), max_edits, words_per_edit)
-        return F.when(F.abs(F.size(x["words"]) - F.size(y["words"])) <= least, word_edits(x["words"], y["words"], max_edits) <= least).otherwise(False)
-
-    joined = connect(lists.select("key", "node", F.xxhash64("node").alias("weight")), lines, linked, space)
-    merged = distinct.join(joined.withColumnRenamed("node", "lid"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
-    merged = space.stage(merged, "merged")
+        n, m = F.size(x["words"]), F.size(y["words"])
+        least = allowed(F.least(n, m), max_edits, words_per_edit)
+        # An edit takes away one word at most, so cheap set differences settle most pairs.
+        close = (F.abs(n - m) <= least) & (F.size(F.array_except(x["words"], y["words"])) <= least) & (
+            F.size(F.array_except(y["words"], x["words"])) <= least)
+        return F.when(close, word_edits(x["words"], y["words"], max_edits) <= least).otherwise(False)
+
+    # The least node of a list leads it, which makes the links stars around least nodes.
+    joined = connect(lists.select("key", "node", F.bitwise_not("node").alias("weight")), lines.select("node", "words"), linked, space)
+    names = lines.select("node", "lid")
+    joined = space.stage(joined.join(names, "node").select("lid", F.col("component").alias("node")).join(
+        names.withColumnRenamed("lid", "component"), "node").select("lid", "component"), "joined")
+    distinct = space.stage(inst.groupBy("lid").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    merged = space.stage(distinct.join(joined, "lid", "left").withColumn("component", F.coalesce("component", "lid")), "merged")
     heads = merged.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     return merged.select("lid", "component").join(heads, "component").select(
         "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n")
