@@ -160,8 +160,8 @@ def listed_lines(docs: DataFrame, lists: DataFrame, space: Workspace) -> DataFra
     return space.stage(lines.select("node", digest(F.col("line")).alias("lid"), F.split("line", " ").alias("words")), "lines")
 
 
-def classes(inst: DataFrame, docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
-    """``lid doc_id line_no n``: each distinct line's class by its first line, and the class's lines."""
+def linked_lines(docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
+    """``lid component`` of the lines that have a link to a different line."""
     keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys")
     lists = space.stage(listed(keys, space), "listed")
     lines = listed_lines(docs, lists, space)
@@ -174,17 +174,13 @@ def classes(inst: DataFrame, docs: DataFrame, max_edits: int, words_per_edit: in
             F.size(F.array_except(y["words"], x["words"])) <= least)
         return F.when(close, word_edits(x["words"], y["words"], max_edits) <= least).otherwise(False)
 
-    # The least node of a list leads it, which makes the links stars around least nodes.
-    joined = connect(lists.select("key", "node", F.bitwise_not("node").alias("weight")), lines.select("node", "words"), linked, space)
+    # Lines near the middle of a group share most of its keys, so they should lead its lists.
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = lists.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    joined = connect(lists.join(weights, "node").select("key", "node", "weight"), lines.select("node", "words"), linked, space)
     names = lines.select("node", "lid")
-    joined = space.stage(joined.join(names, "node").select("lid", F.col("component").alias("node")).join(
+    return space.stage(joined.join(names, "node").select("lid", F.col("component").alias("node")).join(
         names.withColumnRenamed("lid", "component"), "node").select("lid", "component"), "joined")
-    distinct = space.stage(inst.groupBy("lid").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    merged = space.stage(distinct.join(joined, "lid", "left").withColumn("component", F.coalesce("component", "lid")), "merged")
-    heads = merged.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    return merged.select("lid", "component").join(heads, "component").select(
-        "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n")
 
 
 def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
@@ -193,12 +189,19 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit:
         raise ValueError("a line of one word has no segments: words_per_edit is 2 at least")
     space = Workspace(docs.sparkSession)
     inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
-    found = space.stage(classes(inst, docs, max_edits, words_per_edit, space), "classes")
-    alone = F.col("n").isNull()
-    return inst.join(found, "lid", "left").select(
-        "doc_id", "line_no", "lid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_doc"),
-        F.when(alone, F.col("line_no")).otherwise(F.col("class_line")).alias("class_line"),
-        (alone | (F.col("class_doc").eqNullSafe(F.col("doc_id")) & (F.col("class_line") == F.col("line_no")))).alias("kept"))
+    joined = linked_lines(docs, max_edits, words_per_edit, space)
+    again = inst.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lid")
+    named = space.stage(again.join(joined, "lid", "full").select("lid", F.coalesce("component", "lid").alias("component")), "named")
+    # Lines that are neither repeated nor linked pass a bitmap in the scan; all others meet their class.
+    marked = with_repeated(inst, ["lid"], space.stage(cells_of(named, ["lid"]), "cells"))
+    met = space.stage(marked.where("shared").join(named, "lid", "left").select(
+        "doc_id", "line_no", "lid", F.coalesce("component", "lid").alias("component")), "met")
+    heads = space.stage(met.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "heads")
+    own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no"))
+    return met.join(heads, "component").select(
+        "doc_id", "line_no", "lid", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), own.alias("kept")).unionAll(
+        marked.where("NOT shared").select(
+            "doc_id", "line_no", "lid", F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"), F.lit(True).alias("kept")))
 
 
 def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
