@@ -30,6 +30,89 @@ def test_cotraining_on_rows_it_did_not_see(spark):
     assert sum(r.score >= cotrain.KEEP_FROM for r in good) / len(good) >= 0.98
 
 
+def in_memory_cotraining(docs, labels, labelled, rounds):
+    """The same method on plain arrays, with every page in memory."""
+    import zlib
+
+    import numpy as np
+
+    from tidemark.llm.logistic import fit_logistic, predict
+
+    buckets = cotrain.ShapeBuckets()
+    votes = {}
+    for r in labels:
+        votes.setdefault(r.doc_id, []).append(r.quality)
+    rows = []
+    for r in docs:
+        text = (r.text or "").encode()
+        rows.append((r.doc_id, cotrain.content_features(text, buckets), cotrain.metadata_features(r.lang, r.source, r.n_chars, text)))
+    views = [np.array([r[k] for r in rows], np.float32).astype(float) for k in (1, 2)]
+    known = np.array([r[0] in votes and r[0] in labelled for r in rows])
+    y = np.array([float(r[0] in votes and np.mean(votes[r[0]]) >= 0.5) for r in rows])
+    spare = known & np.array([zlib.crc32(str(r[0]).encode()) % 4 == 0 for r in rows])
+    base, open_ = known & ~spare, ~known
+    weights = [fit_logistic(v[base], y[base]) for v in views]
+    for turn in range(1, rounds + 1):
+        handed = []
+        for v in (0, 1):
+            p = predict(weights[v], views[v])
+            marks = np.full(len(rows), np.nan)
+            for label, sure in ((0.0, 1 - p), (1.0, p)):
+                cell = np.floor((sure - 0.9) / (1 - 0.9) * cotrain.BINS).clip(max=cotrain.BINS - 1)
+                wanted, took = turn * cotrain.SHARE * open_.sum() * (y[base] == label).mean(), 0
+                for c in range(cotrain.BINS - 1, -1, -1):
+                    if took >= wanted:
+                        break
+                    here = open_ & (cell == c)
+                    marks[here] = label
+                    took += here.sum()
+            handed.append(marks)
+        after = []
+        for v in (0, 1):
+            w, marks = weights[v], handed[1 - v]
+            extra = ~np.isnan(marks)
+            share = 0.5 * min(1.0, base.sum() / max(1, extra.sum()))
+            for _ in range(cotrain.STEPS):
+                x = np.column_stack([np.ones(len(rows)), views[v]])
+                weight = np.where(base, 1.0, np.where(extra, share, 0.0))
+                p = predict(w, views[v])
+                shrink = np.full(len(w), 1.0)
+                shrink[0] = 1e-6
+                slope = x.T @ (weight * (np.where(base, y, np.nan_to_num(marks)) - p)) - shrink * w
+                curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(shrink)
+                move = np.linalg.solve(curve, slope)
+                w = w + move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
+            after.append(w)
+        weights = after
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    sides = []
+    for v in (0, 1):
+        raw = logit(predict(weights[v], views[v]))[:, None]
+        sides.append(logit(predict(fit_logistic(raw[spare], y[spare], ridge=0.1), raw)))
+    sides = np.column_stack(sides)
+    return {r[0]: s for r, s in zip(rows, predict(fit_logistic(sides[spare], y[spare], ridge=0.1), sides))}
+
+
+def test_cotraining_matches_the_same_method_in_memory(spark):
+    docs, labels = read(spark, SF_SMALL, "documents"), read(spark, SF_SMALL, "labels").where("doc_id % 2 = 0")
+    model = cotrain.train(docs, labels, rounds=2)
+    own = {r.doc_id for r in labels.collect()}
+    want = in_memory_cotraining(docs.collect(), labels.collect(), own, 2)
+    got = {r.doc_id: r.score for r in cotrain.score(docs, model).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+
+
+def test_pseudo_labels_grow_with_the_table(spark):
+    docs, labels = read(spark, SF_SMALL, "documents"), read(spark, SF_SMALL, "labels")
+    more = docs.unionAll(docs.selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars"))
+    one, two = cotrain.train(docs, labels, rounds=1), cotrain.train(more, labels, rounds=1)
+    assert sum(one.pseudo[0].values()) > 0
+    assert all(two.pseudo[0][at] >= 1.8 * n for at, n in one.pseudo[0].items())
+    bounded = cotrain.train(docs, labels, labelled=120, rounds=1)  # labelled ids beyond the sample are pages like others
+    assert sum(bounded.pseudo[0].values()) > sum(one.pseudo[0].values())
+
+
 def test_cotraining_of_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, None, None, None, "q", "s"), (1, None, None, None, None, "q", "s"), (None, "a b", "en", "s", 3, "q", "s"),

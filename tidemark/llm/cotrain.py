@@ -2,20 +2,26 @@
 
 The content view sees the text only: shares of word shapes (letters, signs and digits
 folded to classes), repetition, symbols, capitals.  The metadata view sees language, source,
-length and line layout only.  Each view is a ridge logistic regression.  In every round a
-view labels the unlabelled pool, and its most confident pages, in the proportion of the
-labelled classes, become training rows of the other view.  Both views are then calibrated
-on labelled rows that trained neither, and a logistic combination of the two calibrated
-scores is the document's score.
-
-Fitting uses at most ``LABELLED`` labelled and ``POOL`` unlabelled pages, those with the
-smallest hash of their id: that many short feature rows reach the driver.  Every document
-is scored, in one pass without a shuffle.
+length and line layout only.  Each view is a ridge logistic regression, first fitted on a
+labelled sample.  In every round both views score all other documents; the most confident
+ones of each class, in the proportion of the labelled classes and a share of all that grows
+by ``SHARE`` a round, become training rows of the other view.  Both views are then
+calibrated on labelled rows that trained neither, and a logistic combination of the two
+calibrated scores is the document's score.
+
+The labelled sample is bounded: the ``LABELLED`` labelled ids with the smallest hash, whose
+short feature rows reach the driver.  All documents outside it take part as unlabelled
+pages, however many: their features are staged once, a distributed histogram of confidence
+gives each view's threshold for each class, and each Newton step adds up the gradients and
+Hessians of the chosen pages in the tasks, then over all tasks, as fixed-point numbers, so
+that the order of tasks changes nothing.  Together they weigh at most half of what the
+labelled rows do.  Every document is scored, in one pass without a shuffle.
 
 Defined cases: null and empty texts are scored like any other (few words speak against a
 page); null language, source or length are values of their own; conflicting labels count
-by majority; without labels of both kinds every document scores 1 and is kept; repeated
-rows are scored one by one; extra columns pass through ``keep_good``.
+by majority; one of the texts that repeat a labelled id stands for it; without labels of
+both kinds every document scores 1 and is kept; repeated rows are scored one by one; extra
+columns pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -31,12 +37,18 @@ from pyspark.sql import types as T
 
 from tidemark.llm.logistic import fit_logistic, predict
 from tidemark.llm.words import plain_names
+from tidemark.workspace import Workspace
 
 LABELLED = 8_000
-POOL = 6_000
 ROUNDS = 3
+#: Newton steps of a round; each is one pass over the staged features.
+STEPS = 3
 SHARE = 0.04
 SURE = 0.9
+#: Cells of the histogram of confidence from SURE to 1.
+BINS = 512
+#: Fixed-point unit of the sums.
+UNIT = 1 << 24
 SHAPES = 64
 SOURCES = 32
 KEEP_FROM = 0.5
@@ -115,6 +127,8 @@ class CoTrained:
     meta: object = None
     curves: tuple = ()
     blend: object = None
+    #: Of each round: how many pages each view labelled 0 and 1 for the other.
+    pseudo: tuple = ()
 
     def scores(self, content, meta):
         """(score, content score, metadata score), each a calibrated probability."""
@@ -134,18 +148,12 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """Feature rows ``quality content meta`` of the bounded sample; quality null in the pool."""
+def features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """Feature rows ``id quality content meta`` of all documents; quality null outside the labelled sample."""
     truth = (plain_names(labels, "doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL")
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = truth.orderBy(*order).limit(labelled)
-    ids = plain_names(docs, "doc_id").where("doc_id IS NOT NULL").distinct().orderBy(*order).limit(pool)
-    # Both sides of this join are bounded by the sample sizes or broadcast because they are.
-    extra = truth.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id")
-    open_ids = ids.join(extra, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"))
-    chosen = known.unionAll(open_ids)
-    rows = plain_names(docs, *FIELDS).join(F.broadcast(chosen), "doc_id")
+    known = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = plain_names(docs, *FIELDS).join(F.broadcast(known), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = ShapeBuckets()
@@ -160,38 +168,136 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
     return rows.mapInArrow(run, "id string, quality int, content binary, meta binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """Fit both views and their combination on the sample."""
+def _matrix(column):
+    import numpy as np
+
+    rows = column.to_pylist() if hasattr(column, "to_pylist") else column
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(float)
+
+
+def _bin(sure):
+    import numpy as np
+
+    return np.clip(np.floor((sure - SURE) / (1 - SURE) * BINS), -1, BINS - 1).astype(int)
+
+
+def confidences(pages: DataFrame, weights: tuple) -> dict:
+    """Histogram of each view's confidence in each class: (view, label) to counts of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        seen = np.zeros((2, 2, BINS), np.int64)
+        for batch in batches:
+            for v in (0, 1):
+                p = predict(weights[v], _matrix(batch.column(v)))
+                for label, sure in ((0, 1 - p), (1, p)):
+                    cells = _bin(sure)
+                    seen[v, label] += np.bincount(cells[cells >= 0], minlength=BINS)
+        at = np.flatnonzero(seen.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen.ravel()[at], pa.int64())], names=["cell", "n"])
+
+    import numpy as np
+
+    counts = np.zeros(4 * BINS, np.int64)
+    for r in pages.select("content", "meta").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r.cell] = r.n
+    return {(v, label): counts.reshape(2, 2, BINS)[v, label] for v in (0, 1) for label in (0, 1)}
+
+
+def lowest_cell(counts, wanted: float) -> int:
+    """The lowest cell to take, from the top, until ``wanted`` pages are reached; whole cells only."""
+    import numpy as np
+
+    above = np.cumsum(counts[::-1])[::-1] - counts
+    return int(np.flatnonzero(above < wanted).min()) if wanted > 0 else BINS
+
+
+def _chosen(weights, lowest, views, v):
+    """(rows, labels) that view ``v`` hands to the other view."""
+    import numpy as np
+
+    p = predict(weights[v], views[v])
+    yes, no = _bin(p) >= lowest[v, 1], _bin(1 - p) >= lowest[v, 0]
+    rows = np.flatnonzero(yes | no)
+    return rows, yes[rows].astype(float)
+
+
+def pseudo_sums(pages: DataFrame, weights: tuple, lowest: dict, current: list) -> list:
+    """For each view: (rows, gradient, Hessian) at ``current`` over the pages chosen by the other view."""
+    import numpy as np
+
+    sizes = [len(w) for w in current]
+    spans = [1 + n + n * n for n in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(n) for n in spans]
+        for batch in batches:
+            views = [_matrix(batch.column(v)) for v in (0, 1)]
+            for v in (0, 1):
+                rows, y = _chosen(weights, lowest, views, v)
+                u = 1 - v
+                x = np.column_stack([np.ones(len(rows)), views[u][rows]])
+                p = predict(current[u], views[u][rows])
+                curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+                sums[u] += np.concatenate([[len(rows)], x.T @ (y - p), curve.ravel()])
+        fixed = np.rint(np.concatenate(sums) * UNIT).astype(np.int64)
+        at = np.flatnonzero(fixed)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(fixed[at], pa.int64())], names=["i", "s"])
+
+    flat = np.zeros(sum(spans))
+    for r in pages.select("content", "meta").mapInArrow(run, "i int, s long").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        flat[r.i] = r.s / UNIT
+    parts = np.split(flat, [spans[0]])
+    return [(part[0], part[1:1 + n], part[1 + n:].reshape(n, n)) for part, n in zip(parts, sizes, strict=True)]
+
+
+def newton_step(w, x, y, extra, ridge: float = 1.0):
+    """One step on the labelled rows and the sums over the chosen pages, which weigh half at most."""
+    import numpy as np
+
+    x = np.column_stack([np.ones(len(x)), x])
+    shrink = np.full(len(w), ridge)
+    shrink[0] = 1e-6
+    p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+    share = 0.5 * min(1.0, len(x) / max(1.0, extra[0]))
+    slope = x.T @ (y - p) - shrink * w + share * extra[1]
+    curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(shrink) + share * extra[2]
+    move = np.linalg.solve(curve, slope)
+    return w + move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """Fit both views on the labelled sample and on all other documents, then their combination."""
     import numpy as np
 
-    rows = sorted(sample(docs, labels, labelled, pool).collect(), key=lambda r: (r.id, r.quality is None, r.content))
-    views = [np.array([np.frombuffer(r[v], np.float32) for r in rows], float) for v in ("content", "meta")]
-    known = np.array([r.quality is not None for r in rows], bool)
-    y = np.array([r.quality or 0 for r in rows], float)
+    space = Workspace(docs.sparkSession)
+    rows = space.stage(features(docs, labels, labelled), "features")
+    sample = sorted(rows.where("quality IS NOT NULL").groupBy("id").agg(F.min(F.struct("content", "meta", "quality")).alias("r"))
+                    .select("id", "r.*").collect())
+    known = [_matrix([bytes(r[v]) for r in sample]) if sample else np.empty((0, 0)) for v in ("content", "meta")]
+    y = np.array([r.quality for r in sample], float)
     # A quarter of the labelled rows, by hash, calibrates and trains neither view.
-    spare = known & np.array([zlib.crc32(r.id.encode()) % 4 == 0 for r in rows], bool)
-    base = known & ~spare
-    if len({*y[base]}) < 2 or len({*y[spare]}) < 2:
+    spare = np.array([zlib.crc32(r.id.encode()) % 4 == 0 for r in sample], bool)
+    if len({*y[~spare]}) < 2 or len({*y[spare]}) < 2:
         return CoTrained()
-    labels_of = [np.where(base, y, np.nan), np.where(base, y, np.nan)]  # what each view trains on
-    weights = [None, None]
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            own = ~np.isnan(labels_of[v])
-            weights[v] = fit_logistic(views[v][own], labels_of[v][own], ridge=1.0, weight=np.where(base[own], 1.0, 0.5))
-        if turn == rounds:
-            break
-        for v in (0, 1):
-            p = predict(weights[v], views[v])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                rate = max(1, round(SHARE * (~known).sum() * (y[base] == label).mean()))
-                open_rows = np.flatnonzero(~known & np.isnan(labels_of[1 - v]) & (sure >= SURE))
-                best = open_rows[np.argsort(-sure[open_rows], kind="stable")[:rate]]
-                labels_of[1 - v][best] = label
-    raw = [predict(weights[v], views[v][spare]) for v in (0, 1)]
+    pages = rows.where("quality IS NULL")
+    total = pages.count()
+    weights = [fit_logistic(known[v][~spare], y[~spare], ridge=1.0) for v in (0, 1)]
+    pseudo = []
+    for turn in range(1, rounds + 1 if total else 1):
+        counts = confidences(pages, tuple(weights))
+        lowest = {(v, label): lowest_cell(cells, turn * SHARE * total * (y[~spare] == label).mean()) for (v, label), cells in counts.items()}
+        pseudo.append({at: int(cells[lowest[at]:].sum()) for at, cells in counts.items()})
+        current = list(weights)
+        for _ in range(STEPS):
+            sums = pseudo_sums(pages, tuple(weights), lowest, current)
+            current = [newton_step(current[v], known[v][~spare], y[~spare], sums[v]) for v in (0, 1)]
+        weights = current
+    raw = [predict(weights[v], known[v][spare]) for v in (0, 1)]
     curves = tuple(fit_logistic(_logit(p)[:, None], y[spare], ridge=0.1) for p in raw)
     sides = np.column_stack([_logit(predict(c, _logit(p)[:, None])) for c, p in zip(curves, raw, strict=True)])
-    return CoTrained(weights[0], weights[1], curves, fit_logistic(sides, y[spare], ridge=0.1))
+    return CoTrained(weights[0], weights[1], curves, fit_logistic(sides, y[spare], ridge=0.1), tuple(pseudo))
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
