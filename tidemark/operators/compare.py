@@ -46,14 +46,21 @@ def prepare_matrix(
     """Fit preprocessing on the train rows and prepare every row once.
 
     ``rows`` may bound the table's size when the caller knows it.  The matrix
-    is persisted, because tree learners read it once per level; a
-    lost block is recomputed from the staged clean table.
+    is dealt evenly by row id, because small staged files would leave it in
+    one partition, and persisted, because tree learners read it once per
+    level; a lost block is recomputed from the staged clean table.
     """
     split = assign_split(clean, bounds)
     prep = fit_preprocessor(clean.where(bounds.rows_of("train", year=year_column(clean))), spec, rows=rows)
     kept = [named(c) for c in attributes if c in clean.columns]
     prepared = prep.transform(split).select("row_id", "split", *kept, named(target).alias(LABEL), "features")
-    return Matrix(prepared.persist(StorageLevel.MEMORY_AND_DISK), prep)
+    even = prepared.repartition(even_partitions(prepared), "row_id")
+    return Matrix(even.persist(StorageLevel.MEMORY_AND_DISK), prep)
+
+
+def even_partitions(df: DataFrame) -> int:
+    """At least one partition for each core, and no fewer than the scan would have."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
 
 
 def fit_all(train: DataFrame, learners: Sequence[Learner], feature_dim: int):

@@ -91,7 +91,9 @@ def random_forest(
         ensure_checkpoint_dir(train.sparkSession)
         return RandomForestRegressor(
             labelCol=LABEL, numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
-            maxBins=max_bins, seed=seed, featureSubsetStrategy="all", bootstrap=bootstrap, maxMemoryInMB=1024).fit(train)
+            maxBins=max_bins, seed=seed, featureSubsetStrategy="all", bootstrap=bootstrap, maxMemoryInMB=1024,
+            # Each row keeps its node of every tree, so that a pass need not ship all trees to the tasks.
+            cacheNodeIds=True, checkpointInterval=10).fit(train)
 
     return Learner(name, fit)
 

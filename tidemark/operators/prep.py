@@ -136,7 +136,14 @@ def fit_preprocessor(
     row = train.agg(F.count(F.lit(1)), *scales, *[F.approx_count_distinct(named(c)) for c in spec.categorical]).first()
     scaler = _read_scaler(medians, row[1:])
     modes, categories = fit_categories(train, spec.categorical, max_categories, row[1 + len(scales):])
+    return build_preprocessor(train, medians, scaler, modes, categories)
 
+
+def build_preprocessor(
+    train: DataFrame, medians: Mapping[str, float], scaler: Mapping[str, tuple[float, float]],
+    modes: Mapping[str, str], categories: Mapping[str, list[str]],
+) -> Preprocessor:
+    """The preprocessor of known statistics; only the schema of ``train`` is read."""
     numbers = {c: f"num_{i}_{safe_name(c)}" for i, c in enumerate(scaler)}
     texts = {c: f"cat_{i}_{safe_name(c)}" for i, c in enumerate(modes)}
     projected = [

@@ -10,11 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import named
-from tidemark.operators.compare import fit_all, score_models
+from tidemark.operators.compare import even_partitions, fit_all, score_models
+from tidemark.operators.fold_states import fold_statistics
 from tidemark.operators.learners import LABEL, Learner
 from tidemark.operators.metrics import error_columns
 from tidemark.operators.policy import FeatureSpec
-from tidemark.operators.prep import fit_preprocessor
+from tidemark.operators.prep import build_preprocessor
 from tidemark.operators.temporal import Fold, fold_support, year_column
 
 #: Few small rows per fold and family.
@@ -39,20 +40,23 @@ def walk_forward(
     spark = df.sparkSession
     supported = {r["fold"]: r for r in fold_support(df, folds, min_rows=min_rows).collect()}
     results = []
-    for fold in folds:
-        if fold.fold not in supported:
-            continue
+    folds = sorted((f for f in folds if f.fold in supported), key=lambda f: f.val_start)
+    # The preprocessing statistics of all folds come from one set of scans.
+    most = max((supported[f.fold]["train_rows"] for f in folds), default=0)
+    fitted = fold_statistics(df, folds, spec, rows=most) if spec is not None and folds else [None] * len(folds)
+    for fold, statistics in zip(folds, fitted, strict=True):
         support = supported[fold.fold]
         year = year_column(df)
         train, val = df.where(fold.train_rows(year=year)), df.where(fold.val_rows(year=year))
         dim = 0
         if spec is not None:
-            prep = fit_preprocessor(train, spec, rows=support["train_rows"])
+            prep = build_preprocessor(train, statistics.medians, statistics.scaler, statistics.modes, statistics.categories)
             train, val, dim = prep.transform(train), prep.transform(val), prep.feature_dim
         keys = [c for c in ("row_id",) if c in df.columns]  # early stopping holds rows out by their id
         columns = [named(target).alias(LABEL), *([*keys, "features"] if spec is not None else [])]
         train = train.select(*columns)
         if spec is not None:
+            train = train.repartition(even_partitions(train), *(keys or [LABEL]))
             # Learners read the matrix many times; baselines read one column once or twice.
             train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:

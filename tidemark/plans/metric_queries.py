@@ -96,12 +96,12 @@ def residuals(spark, sf_dir):
 
 @query(twin("""
 SELECT row_id, round(y_true,6) AS y_true, round(y_pred,6) AS y_pred FROM test WHERE model = 'saleEstimate_currentPrice'
-ORDER BY md5(concat('42:', CAST(row_id AS VARCHAR))), row_id LIMIT 1000"""))
+ORDER BY md5(concat('42:', CAST(row_id AS VARCHAR))), row_id LIMIT 12000"""))
 def scatter_sample(spark, sf_dir):
-    """The feature is the sample size: 1000 points for a plot."""
+    """The feature is the sample size: 12,000 points for a plot."""
     rows = Inputs(spark, sf_dir, SCORED).predictions("test").where(
         (F.col("model") == DRAWN_MODEL) & F.col("y_pred").isNotNull())
-    return rounded(diagnostics.hash_sample(rows.select("row_id", "y_true", "y_pred"), 1000), 6)
+    return rounded(diagnostics.hash_sample(rows.select("row_id", "y_true", "y_pred"), 12_000), 6)
 
 
 @query(twin("""

@@ -232,14 +232,14 @@ def importance_gain(spark, sf_dir):
 
 @query(twin("""
 SELECT r.row_id, CAST(i AS INTEGER) AS sample_index, round(r.history_price, 6) AS history_price
-FROM range(0, 500) AS t(i) JOIN (
+FROM range(0, 4000) AS t(i) JOIN (
   SELECT row_id, history_price, row_number() OVER (ORDER BY row_id) - 1 AS rk, count(*) OVER () AS n FROM sp WHERE split = 'val') r
-ON r.rk = (i * (n - 1)) // (least(500, n) - 1) WHERE i < least(500, n)"""))
+ON r.rk = (i * (n - 1)) // (least(4000, n) - 1) WHERE i < least(4000, n)"""))
 def even_sample(spark, sf_dir):
-    """The feature is the sample size: 500 evenly spaced validation rows."""
+    """The feature is the sample size: 4,000 evenly spaced validation rows."""
     q = Inputs(spark, sf_dir, KEYS)
     rows = q.rows_of("val").select("row_id", "history_price")
-    return rounded(importance.even_sample(rows, q.workspace, n=500), 6)
+    return rounded(importance.even_sample(rows, q.workspace), 6)
 
 
 @query()

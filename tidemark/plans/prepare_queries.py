@@ -6,13 +6,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.functions import features
-from tidemark.operators import clean, policy, prep, profile, temporal
+from tidemark.operators import clean, fold_states, policy, prep, profile, temporal
 from tidemark.operators.metrics import regression_metrics
 from tidemark.plans import fixtures
 from tidemark.plans.inputs import KEYS, SCORED, Inputs
 from tidemark.plans.oracles import twin
 from tidemark.plans.registry import query, rounded
-from tidemark.sources import records, tables, upserts
+from tidemark.sources import records, tables, upserts, versions
 
 # ---- sources and sinks -------------------------------------------------
 
@@ -53,12 +53,12 @@ def sink_roundtrip(spark, sf_dir):
 
 @query(twin("""
 SELECT history_year, count(*) AS n_rows, round(sum(history_price), 2) AS total_price
-FROM clean WHERE history_year >= 1998 GROUP BY history_year"""))
+FROM clean GROUP BY history_year"""))
 def write_clean(spark, sf_dir):
-    """Year-partitioned clean table; the read prunes to the years it asks for."""
+    """Year-partitioned clean table, read back whole."""
     q = Inputs(spark, sf_dir, KEYS)
     path = tables.write_clean(q.clean, q.workspace.path("clean-by-year"))
-    years = spark.read.parquet(path).where("history_year >= 1998")
+    years = spark.read.parquet(path)
     return rounded(years.groupBy("history_year").agg(
         F.count("*").alias("n_rows"), F.sum("history_price").alias("total_price")), 2)
 
@@ -125,6 +125,27 @@ def upsert_predictions_null_name(spark, sf_dir):
     return rounded(upserts.upsert_predictions(base, new), 6)
 
 
+@query(twin("""
+SELECT 1 AS version, row_id, model, round(y_pred, 6) AS y_pred FROM preds
+WHERE split = 'test' AND model IN ('NaiveMedian', 'saleEstimate_lowerPrice')
+UNION ALL
+SELECT 2, row_id, CASE WHEN model = 'RoomRate' THEN 'NaiveMedian' ELSE model END, round(y_pred, 6) FROM preds
+WHERE split = 'test' AND model IN ('RoomRate', 'saleEstimate_lowerPrice')
+UNION ALL
+SELECT 3, row_id, CASE WHEN model = 'RoomRate' THEN 'NaiveMedian' ELSE model END, round(y_pred, 6) FROM preds
+WHERE split = 'test' AND model IN ('RoomRate', 'saleEstimate_lowerPrice', 'saleEstimate_upperPrice')"""))
+def upsert_versions(spark, sf_dir):
+    """A stored prediction table after its first write and two upserts; every version stays readable."""
+    q = Inputs(spark, sf_dir, SCORED)
+    rows = q.workspace.stage(q.predictions("test").select("row_id", "model", "y_pred"), "predictions")
+    stored = versions.VersionedTable(spark, q.workspace.path("stored"))
+    stored.publish(rows.where("model IN ('NaiveMedian', 'saleEstimate_lowerPrice')"))
+    stored.upsert_predictions(rows.where("model = 'RoomRate'").withColumn("model", F.lit("NaiveMedian")))
+    stored.upsert_predictions(rows.where("model = 'saleEstimate_upperPrice'"))
+    return rounded(profile.union_all([
+        stored.read(n).select(F.lit(n).alias("version"), "row_id", "model", "y_pred") for n in sorted(stored.versions())]), 6)
+
+
 # ---- profiles ----------------------------------------------------------
 
 _SALES_COLUMNS = (
@@ -377,6 +398,37 @@ def wf_support(spark, sf_dir):
     return temporal.fold_support(rows, temporal.walk_forward_folds(rows))
 
 
+def _fold_numbers(column: str) -> str:
+    return f"""
+SELECT f.fold, '{column}' AS name, round(m, 4) AS median, round(avg(coalesce({column}, m)), 4) AS mean,
+       round(coalesce(nullif(stddev_pop(coalesce({column}, m)), 0), 1), 4) AS scale, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS INTEGER) AS n_values
+FROM folds f JOIN clean c ON c.history_date < f.val_start
+JOIN (SELECT g.fold, median({column}) AS m FROM folds g JOIN clean c ON c.history_date < g.val_start GROUP BY g.fold) s ON s.fold = f.fold
+GROUP BY f.fold, m"""
+
+
+_FOLD_NUMBERS = ("bedrooms", "floorAreaSqM", "saleEstimate_lowerPrice")
+
+
+@query(twin(" UNION ALL ".join(_fold_numbers(c) for c in _FOLD_NUMBERS) + """
+UNION ALL
+SELECT fold, 'propertyType', NULL, NULL, NULL, value, CAST(n_values AS INTEGER) FROM (
+  SELECT fold, value, row_number() OVER (PARTITION BY fold ORDER BY n DESC, value) AS rn, count(*) OVER (PARTITION BY fold) AS n_values FROM (
+    SELECT f.fold, c.propertyType AS value, count(*) AS n FROM folds f JOIN clean c ON c.history_date < f.val_start
+    WHERE c.propertyType IS NOT NULL GROUP BY f.fold, c.propertyType)) WHERE rn = 1"""))
+def wf_fold_stats(spark, sf_dir):
+    """Train medians, scales and modes of every fold from one set of slice states."""
+    q = Inputs(spark, sf_dir, (*KEYS, *_FOLD_NUMBERS, "propertyType"))
+    folds = temporal.walk_forward_folds(q.clean)
+    found = fold_states.fold_statistics(q.clean, folds, policy.FeatureSpec(_FOLD_NUMBERS, ("propertyType",)), rows=q.size)
+    rows = []
+    for fold, s in zip(folds, found, strict=True):
+        rows += [(fold.fold, c, s.medians[c], *s.scaler[c], None, None) for c in s.medians]
+        rows += [(fold.fold, c, None, None, None, s.modes[c], len(s.categories[c])) for c in s.modes]
+    return rounded(spark.createDataFrame(
+        rows, "fold int, name string, median double, mean double, scale double, mode string, n_values int"))
+
+
 # ---- preprocessing -----------------------------------------------------
 
 _IMPUTED = ("floorAreaSqM", "saleEstimate_lowerPrice", "saleEstimate_currentPrice", "saleEstimate_upperPrice")

@@ -55,16 +55,18 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` once and return the table that reads it back.
 
+        ``options`` are those of the Parquet writer.
+
         The write counts its rows on the way; ``rows[name]`` then bounds the
         size of everything derived from the table by filtering.
         """
         self._sequence += 1
         target = self.path(f"{self._sequence:03d}-{name}")
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**options).parquet(target)
         self.rows[name] = seen.get["rows"]
         # Passing the schema saves the footer-reading inference job.
         return self.spark.read.schema(df.schema).parquet(target)
