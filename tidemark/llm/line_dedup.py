@@ -38,6 +38,7 @@ from tidemark.workspace import Workspace
 
 MAX_EDITS = 2
 WORDS_PER_EDIT = 8
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 
 def digest(line: Column) -> Column:
@@ -87,10 +88,15 @@ def keys_of(lines: DataFrame, max_edits: int, words_per_edit: int) -> DataFrame:
     Segments are even; the last ones take the rest of the length.
     """
     names = ("edits", "less", "i", "shift")
-    cases = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, case, strict=True)])
-                      for edits in range(1, max_edits + 1) for case in cases_of(edits)])
+
+    def cases(least: int) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, case, strict=True)])
+                         for edits in range(least, max_edits + 1) for case in cases_of(edits)])
+
+    # Long lines meet only lines of the most edits.
+    own = F.when(F.size("words") >= max_edits * words_per_edit + max_edits, cases(max_edits)).otherwise(cases(1))
     rows = lines.where(F.length("line") >= 2 * words_per_edit - 1).select(node_of(F.col("line")).alias("node"), F.split("line", " ").alias("words"))
-    rows = rows.select("node", "words", F.size("words").alias("n"), F.explode(cases).alias("c")).select("node", "words", "n", "c.*")
+    rows = rows.select("node", "words", F.size("words").alias("n"), F.explode(own).alias("c")).select("node", "words", "n", "c.*")
     parts, i, target = F.col("edits") + 1, F.col("i"), F.col("target")
     rest = target % parts
     short = ((target - rest) / parts).cast("int")
@@ -162,7 +168,8 @@ def listed_lines(docs: DataFrame, lists: DataFrame, space: Workspace) -> DataFra
 
 def linked_lines(docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
     """``lid component`` of the lines that have a link to a different line."""
-    keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys")
+    # Hashes hardly repeat, so dictionaries would only cost time.
+    keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys", **PLAIN)
     lists = space.stage(listed(keys, space), "listed")
     lines = listed_lines(docs, lists, space)
 
@@ -188,7 +195,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit:
     if words_per_edit < 2:
         raise ValueError("a line of one word has no segments: words_per_edit is 2 at least")
     space = Workspace(docs.sparkSession)
-    inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst")
+    inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst", **PLAIN)
     joined = linked_lines(docs, max_edits, words_per_edit, space)
     again = inst.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lid")
     named = space.stage(again.join(joined, "lid", "full").select("lid", F.coalesce("component", "lid").alias("component")), "named")
