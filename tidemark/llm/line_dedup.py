@@ -157,21 +157,22 @@ def listed(keys: DataFrame, space: Workspace) -> DataFrame:
     return near.join(shared, "key", "left_semi").distinct()
 
 
-def listed_lines(docs: DataFrame, lists: DataFrame, space: Workspace) -> DataFrame:
-    """``node lid words`` of the listed lines; only they leave the scan."""
+def listed_lines(inst: DataFrame, lists: DataFrame, space: Workspace) -> DataFrame:
+    """``node lid words`` of the listed lines (words as hashes); only they leave the scan."""
     nodes = space.stage(lists.select("node").distinct(), "nodes")
     cells = space.stage(cells_of(nodes, ["node"]), "cells")
-    lines = with_repeated(lines_of(docs).select(node_of(F.col("line")).alias("node"), "line"), ["node"], cells).where("shared")
-    lines = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    return space.stage(lines.select("node", digest(F.col("line")).alias("lid"), F.split("line", " ").alias("words")), "lines")
+    lines = with_repeated(inst.select(node_of(F.col("line")).alias("node"), "line"), ["node"], cells).where("shared")
+    first = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    return space.stage(first.select("node", digest(F.col("line")).alias("lid"), words.alias("words")), "lines")
 
 
-def linked_lines(docs: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
+def linked_lines(inst: DataFrame, max_edits: int, words_per_edit: int, space: Workspace) -> DataFrame:
     """``lid component`` of the lines that have a link to a different line."""
     # Hashes hardly repeat, so dictionaries would only cost time.
-    keys = space.stage(keys_of(lines_of(docs), max_edits, words_per_edit), "keys", **PLAIN)
+    keys = space.stage(keys_of(inst, max_edits, words_per_edit), "keys", **PLAIN)
     lists = space.stage(listed(keys, space), "listed")
-    lines = listed_lines(docs, lists, space)
+    lines = listed_lines(inst, lists, space)
 
     def linked(x: Column, y: Column) -> Column:
         n, m = F.size(x["words"]), F.size(y["words"])
@@ -195,13 +196,15 @@ def duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, words_per_edit:
     if words_per_edit < 2:
         raise ValueError("a line of one word has no segments: words_per_edit is 2 at least")
     space = Workspace(docs.sparkSession)
-    inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid")), "inst", **PLAIN)
-    joined = linked_lines(docs, max_edits, words_per_edit, space)
-    again = inst.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lid")
-    named = space.stage(again.join(joined, "lid", "full").select("lid", F.coalesce("component", "lid").alias("component")), "named")
+    # Later passes read the columns they need instead of cutting all texts again.
+    inst = space.stage(lines_of(docs).select("doc_id", "line_no", digest(F.col("line")).alias("lid"), "line"), "inst", **PLAIN)
+    joined = linked_lines(inst, max_edits, words_per_edit, space)
+    rows = inst.select("doc_id", "line_no", "lid", F.xxhash64("lid").alias("mark"))
     # Lines that are neither repeated nor linked pass a bitmap in the scan; all others meet their class.
-    marked = with_repeated(inst, ["lid"], space.stage(cells_of(named, ["lid"]), "cells"))
-    met = space.stage(marked.where("shared").join(named, "lid", "left").select(
+    again = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    cells = space.stage(cells_of(again.unionAll(joined.select(F.xxhash64("lid").alias("mark"))), ["mark"]), "cells")
+    marked = with_repeated(rows, ["mark"], cells)
+    met = space.stage(marked.where("shared").join(joined, "lid", "left").select(
         "doc_id", "line_no", "lid", F.coalesce("component", "lid").alias("component")), "met")
     heads = space.stage(met.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "heads")
     own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no"))
