@@ -261,6 +261,20 @@ def test_phrase_shards_bound_the_texts_of_a_task(spark, monkeypatch):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (n, removed, hashlib.sha256(kept).hexdigest())
 
 
+def test_a_window_in_every_text_is_one_row_a_slot(spark):
+    held = spark.range(3000).selectExpr("id AS part", "explode(array(7L, 1000L + id)) AS fp", "cast(id % 9 AS int) AS place", "id = 5 AS many")
+    got = phrases.recurring_windows(held, 4)
+    rows = got.collect()
+    assert sorted((r.fp, r.slot) for r in rows) == [(7, 0), (7, 1), (7, 2), (7, 3), (1005, rows_slot(spark, 5))]
+    assert all(r.place == r.part % 9 for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.rindex("partial_sum")  # combined below the first exchange
+
+
+def rows_slot(spark, part):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(part).cast("long")), F.lit(4))).first()[0]
+
+
 def test_phrases_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = spark.createDataFrame([(None, text), (7, text + " end"), (7, "other"), (8, None)], "doc_id long, text string")

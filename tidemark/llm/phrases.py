@@ -11,6 +11,9 @@ shard are compiled into one automaton.  The shard's documents are streamed throu
 each tile met is extended word by word: a stretch of at least a window that agrees with a
 passage is an occurrence, and its words are removed.
 
+Each text is dealt to a slot, and slots to shards; a slot sends one sample of a window and its
+count, combined before the shuffle, so a window that very many texts hold is no hot key.
+
 Equal texts are one text with copies: if it has a window, all its words recur.  Shards hold
 a bounded number of recurring windows and of words on average, so automata and the texts a
 task holds stay small however many there are, and a window of a text belongs to the text's
@@ -114,7 +117,7 @@ def scanned(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def candidate_windows(routed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``fp doc_id whole place many`` of each distinct window whose anchor is repeated."""
+    """``doc_id part fp place many`` of each distinct window whose anchor is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -139,7 +142,19 @@ def candidate_windows(routed: DataFrame, window: int, anchor: int) -> DataFrame:
 
     lists = routed.select("doc_id", "whole", "text", "repeated").mapInArrow(
         run, f"doc_id {_kind(routed)}, whole binary, fp array<long>, place array<int>, many array<boolean>")
-    return lists.select("doc_id", F.substring("whole", 1, 8).alias("part"), F.inline(F.arrays_zip("fp", "place", "many")))
+    return lists.select("doc_id", F.xxhash64("whole").alias("part"), F.inline(F.arrays_zip("fp", "place", "many")))
+
+
+def recurring_windows(windows: DataFrame, slots: int) -> DataFrame:
+    """``fp slot part place``: of windows met twice, one sample of each for every slot that has it.
+
+    Texts are dealt to slots, and a slot's samples are combined before the shuffle, so a window
+    that a third of all texts hold is as many rows as there are slots when it is counted.
+    """
+    held = windows.groupBy("fp", F.pmod(F.xxhash64("part"), F.lit(slots)).alias("slot")).agg(
+        F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n"), F.min("part").alias("part"), F.min_by("place", "part").alias("place"))
+    met = held.withColumn("met", F.sum("n").over(Window.partitionBy("fp")))
+    return met.where("met > 1").select("fp", "slot", "part", "place")
 
 
 class PassageAutomaton:
@@ -202,7 +217,7 @@ def located(routed: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
         bodies = [t.as_py().split() for t in texts.column("text")]
         coded = [[ids.setdefault(w, len(ids)) for w in words] for words in bodies]
         by_whole = dict(zip(wholes, coded, strict=True))
-        by_part = {w[:8]: w for w in wholes}
+        by_part = dict(zip(texts.column("part").to_pylist(), wholes, strict=True))
         passages = []
         for part, places in zip(starts.column("part").to_pylist(), starts.column("places").to_pylist(), strict=True):
             codes, begin, end = by_whole[by_part[part]], None, None
@@ -228,7 +243,7 @@ def located(routed: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
         return pa.table([pa.array(wholes, pa.binary()), pa.array(spans, SPANS), pa.array(digests, pa.string())],
                         names=["whole", "spans", "kept_sha256"])
 
-    return (routed.select("shard", "whole", "text").groupBy("shard")
+    return (routed.select("shard", "part", "whole", "text").groupBy("shard")
             .cogroup(phrases.groupBy("shard"))
             .applyInArrow(run, "whole binary, spans array<struct<start:int,end:int>>, kept_sha256 string"))
 
@@ -258,16 +273,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     joined = joined.select("doc_id", "part", "text", "repeated")
     routed = space.stage(_own_texts(joined), "routed")
 
-    windows = candidate_windows(routed, window, anchor)
-    seen = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("fp"))).where("n > 1 OR many")
-    recurring = space.stage(seen.select("fp", "part", "place"), "recurring")
+    # A text has at most as many windows as words, so the final shards are never more than the slots.
     load = routed.agg(F.sum("load")).first()[0] or 0
+    slots = load // min(shard_windows, shard_load) + 1
+    recurring = space.stage(recurring_windows(candidate_windows(routed, window, anchor), slots), "recurring")
     shards = max(space.rows["recurring"] // shard_windows, load // shard_load) + 1
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
-    phrases = (recurring.select(shard("part"), "fp", "part", "place").groupBy("shard", "fp")
-               .agg(F.min(F.struct("part", "place")).alias("at"))
-               .groupBy("shard", F.col("at.part").alias("part")).agg(F.collect_list("at.place").alias("places")))
-    found = located(routed.withColumn("shard", shard(F.substring("whole", 1, 8))), phrases, window).where(F.size("spans") > 0)
+    shard = lambda slot: F.pmod(slot, F.lit(shards)).alias("shard")
+    phrases = (recurring.groupBy(shard(F.col("slot")), "fp")
+               .agg(F.min("part").alias("part"), F.min_by("place", "part").alias("place"))
+               .groupBy("shard", "part").agg(F.collect_list("place").alias("places")))
+    part = F.xxhash64("whole")
+    dealt = routed.withColumns({"part": part, "shard": shard(F.pmod(F.xxhash64(part), F.lit(slots)))})
+    found = located(dealt, phrases, window).where(F.size("spans") > 0)
 
     copied = texts.where("copies > 1").select(
         "whole", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"),
