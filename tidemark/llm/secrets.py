@@ -5,8 +5,9 @@ entropy scan takes candidate strings (long runs of key characters), slides a
 window over each, and updates the sum of ``c * log2(c)`` over the window's
 character counts as one character enters and one leaves.  Sums are fixed-point
 integers, so a threshold is met or not met exactly.  A candidate counts as one
-class (hex, or mixed letters and digits) with its own threshold; candidates that
-match the allow-list are left out.  Pattern spans are never left out.
+class (hex, letters only, or mixed) with its own threshold; candidates that
+match the allow-list as a whole are left out, so nothing that stands beside an allowed
+string in a longer run is silenced with it.  Pattern spans are never left out.
 
 Defined cases: null text is empty; a text without matches has counts 0 and empty
 span lists; repeated rows are scanned one by one; extra columns are ignored.
@@ -34,11 +35,14 @@ SCALE = 1 << 20
 #: c * log2(c) for every count a window can hold, as fixed-point integers.
 TERMS = tuple(round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 1))
 #: Bits a character at least, by character class.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.7}
-#: Strings that look random and are none: UUIDs, bare words and numbers, paths, documented example keys.
+THRESHOLDS = {"hex": 3.0, "letters": 4.0, "mixed": 3.7}
+#: The classes' candidates; what is neither is mixed.  Words joined by signs count as letters.
+CLASSES = {"hex": "^[0-9a-fA-F]+$", "letters": "^[A-Za-z_=/-]+$"}
+#: Strings that look random and are none: UUIDs, numbers, paths of short names, documented example keys.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z_=/-]+$", r"^[0-9_=/+-]+$", r"EXAMPLE", r"^/?[a-z0-9_-]+(/[a-z0-9_-]+)+/?$",
+    r"^[0-9_=/+-]+$", r"^([A-Za-z_-]+=)?(AKIA[A-Z0-9]{9}|[A-Za-z0-9/+]{30})EXAMPLE(KEY)?$",
+    r"^/?[a-z0-9_-]{1,19}(/[a-z0-9_-]{1,19})+/?$",
 )
 
 
@@ -108,8 +112,8 @@ def hot_range(value: Column, limit: Column) -> Column:
 def entropy_spans(text: Column, allow: Sequence[str] = ALLOW) -> Column:
     """Array of (start, end) around the high-entropy windows of each candidate."""
     allowed = lambda v: F.coalesce(*[F.when(v.rlike(a), F.lit(True)) for a in allow], F.lit(False))
-    limit = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), F.lit(most_sum(THRESHOLDS["hex"]))).otherwise(
-        F.lit(most_sum(THRESHOLDS["mixed"]))).cast("long")
+    limit = lambda v: F.coalesce(
+        *[F.when(v.rlike(p), F.lit(most_sum(THRESHOLDS[c]))) for c, p in CLASSES.items()], F.lit(most_sum(THRESHOLDS["mixed"]))).cast("long")
     candidates = F.filter(matches(text, CANDIDATE), lambda c: ~allowed(c["value"]))
     scanned = F.transform(candidates, lambda c: let(hot_range(c["value"], limit(c["value"])), lambda h: F.struct(
         (c["start"] + h["first"]).alias("start"), (c["start"] + h["last"] + WINDOW).alias("end"))))
@@ -155,6 +159,7 @@ def _located_sql(kind: str, pattern: str, source: str = "d", value: str = "0") -
 
 _TERM_LIST = "[" + ", ".join(str(t) for t in TERMS) + "]"
 _ASSIGN_SQL = ASSIGN.replace("'", "''")
+_LIMIT_SQL = " ".join(f"WHEN regexp_matches(val, '{p}') THEN {most_sum(THRESHOLDS[c])}" for c, p in CLASSES.items())
 _ALLOW_SQL = " AND ".join(f"NOT regexp_matches(val, '{a}')" for a in ALLOW)
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -166,7 +171,7 @@ m AS (
 p AS (SELECT doc_id, kind, o, vals[i] AS val, hits[i] AS hit,
              CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM m),
 e AS (SELECT doc_id, s, val, unnest(range(0, length(val) - {WINDOW - 1})) AS k,
-             CASE WHEN regexp_full_match(val, '[0-9a-fA-F]+') THEN {most_sum(THRESHOLDS["hex"])} ELSE {most_sum(THRESHOLDS["mixed"])} END AS most
+             CASE {_LIMIT_SQL} ELSE {most_sum(THRESHOLDS["mixed"])} END AS most
       FROM p WHERE kind = 'entropy' AND {_ALLOW_SQL}),
 h AS (SELECT doc_id, s, k FROM e WHERE list_sum(list_transform(
         list_distinct(string_split(substr(val, CAST(k + 1 AS INT), {WINDOW}), '')),
