@@ -97,6 +97,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "_gone"] and {r.doc_id for r in kept.collect()} == {None, 1}
 
 
+def test_near_duplicates_of_an_id_with_other_texts(spark):
+    """Only the rows whose own text is a copy go, whichever of an id's texts speaks for it."""
+    rng = random.Random(11)
+    one, two, three = (" ".join(prose(rng, 60)) for _ in range(3))
+    rows = [(3, one), (5, one), (5, two), (6, two), (9, three), (9, three + " end"), (9, "quite another text"), (2, three + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(tuple(r) for r in near_dups.drop_near_duplicates(docs).collect())
+    assert (3, one) in left and (5, one) not in left  # a copy of document 3
+    assert (5, two) in left and (6, two) not in left
+    assert (9, "quite another text") in left and (2, three + " end") in left and (9, three + " end") not in left
+
+
 def test_threshold_misses_are_rare():
     assert near_dups.least_collisions(0.85, 48) == 26
     assert near_dups.least_collisions(1.0, 10) >= 1
