@@ -2,10 +2,11 @@
 
 Turns are ordered within their conversation by turn number (ties by role, then
 text).  Prefix sums of turn tokens cut the conversation: a window holds the turns
-whose prefix sum ends in the same stretch of half a budget, so a window stays
-within the budget unless a single turn is longer than half of it; turns are never
+whose prefix sum ends in the same stretch of half a budget, so a window's own turns
+stay within the budget unless a single turn is longer than half of it; turns are never
 cut.  Ahead of its own turns a window repeats the conversation's first system turn
-and up to two turns of history that fit ``history`` tokens.  Only the window's own
+and up to two turns of history that fit ``history`` tokens; these are not charged to
+the budget, so a window with a long system turn can exceed it.  Only the window's own
 assistant texts are under the loss mask: repeated targets are masked out, so each
 assistant text counts once.
 

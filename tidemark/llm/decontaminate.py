@@ -6,9 +6,9 @@ streamed through it, which gives at each word the longest sequence of item words
 ends there.  A match as long as the window (or as a whole shorter item) marks its
 words; the state tells which items hold that window.
 
-The automaton is built per shard of at most ``shard_words`` item words, so what is
-broadcast is bounded however many items there are; documents then pass the shards one
-after another in the same task, without a shuffle.  Before streaming, runs of words
+An automaton is built per shard of at most ``shard_words`` item words, which bounds one
+broadcast; documents pass the shards one after another in the same task, without a
+shuffle, so the automata of all items together must fit a worker's memory.  Before streaming, runs of words
 that no item uses are skipped, which can't lose a match.
 
 Defined cases: null text or item has no words; empty items match nothing; without
