@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 
 from tests.conftest import SF_SMALL, SF_TINY
 from tidemark.llm import cotrain, decontaminate, packing, toxicity
+from tidemark.workspace import Workspace
 
 WIDE = "doc_id long, text string, lang string, source string, n_chars long, quality string, score string"
 
@@ -197,6 +199,64 @@ def test_contamination_matches_brute_force(spark, shard):
             assert len(left) == n - len(hit)
 
 
+def test_a_long_item_is_spread_over_shards_and_one_is_held_at_a_time(spark, monkeypatch):
+    rng = random.Random(3)
+    long = [f"i{rng.randrange(400)}" for _ in range(1200)]
+    items = [(1, " ".join(long)), (2, " ".join(long[100:130])), (3, "short item"), (None, " ".join(long[5:17]))]
+    texts = [" ".join(["a", *long[i:i + n], "b"]) for i, n in ((0, 9), (0, 10), (7, 40), (95, 60), (600, 600), (1190, 10), (1191, 9), (0, 1200))]
+    texts += [texts[4]] * 30 + ["SHORT. Item short", None, "", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    alive, most, sizes = [], [], []
+    context = spark.sparkContext
+    make = context.broadcast
+
+    class Watched:
+        def __init__(self, value):
+            self.inner = make(value)
+            alive.append(self)
+            most.append(len(alive))
+            sizes.append(sum(map(len, pickle.loads(value)["next"])))
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+        @property
+        def value(self):
+            return self.inner.value
+
+        def destroy(self):
+            alive.remove(self)
+            self.inner.destroy()
+
+    monkeypatch.setattr(context, "broadcast", Watched)
+    found = decontaminate.found_in(docs, bench, Workspace(spark), shard_words=40)
+    monkeypatch.undo()
+    assert len(most) >= 50 and max(most) == 1 and not alive
+    # A shard holds at most 40 words and a piece of 20; a suffix automaton has fewer than three moves a word.
+    assert max(sizes) < 3 * (40 + 20)
+    assert found.count() == len({t for t in texts if t and brute_hits(t, [(i or "", b) for i, b in items], 10)[1]})
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, shard_words=300).collect()}
+    whole = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == whole and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        n, hit, ids = brute_hits(text, [("" if k is None else k, body) for k, body in items], decontaminate.WINDOW)
+        assert (got[i].n_words, sorted(got[i]["items"])) == (n, ids)
+        assert {p for s in got[i].spans for p in range(s.start, s.end)} == hit
+
+
+def test_cut_documents_keep_every_column(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(1, f"keep, this: {' '.join(f'x{i}' for i in range(40))} {body}.", "r", 1, None), (2, body, "r", 1, None), (None, None, None, None, None), (4, "clean ü", "r", 2, "s")],
+        "doc_id long, text string, row string, digest int, shared string")
+    bench = spark.createDataFrame([(7, body)], "item_id long, text string")
+    rows = decontaminate.decontaminate(docs, bench)
+    assert rows.schema == docs.schema
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        (1, f"keep, this: {' '.join(f'x{i}' for i in range(40))} .", "r", 1, None), (None, None, None, None, None), (4, "clean ü", "r", 2, "s")], key=str)
+
+
 def test_contamination_without_items(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

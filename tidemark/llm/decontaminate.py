@@ -6,28 +6,39 @@ streamed through it, which gives at each word the longest sequence of item words
 ends there.  A match as long as the window (or as a whole shorter item) marks its
 words; the state tells which items hold that window.
 
-An automaton is built per shard of at most ``shard_words`` item words, which bounds one
-broadcast; documents pass the shards one after another in the same task, without a
-shuffle, so the automata of all items together must fit a worker's memory.  Before streaming, runs of words
-that no item uses are skipped, which can't lose a match.
+Items are cut into pieces that share ``window - 1`` words, so that every window lies in
+a piece, and pieces are put into shards.  An automaton holds at most ``shard_words``
+words and one piece more, however long an item is.  Shards are written under the shared
+folder and met one after another: a pass broadcasts one automaton, scans all documents,
+stages the spans of the few that it hits and destroys the broadcast, so that neither the
+driver nor a task ever holds two.  ``docs`` is scanned once a shard and once more to be
+cut; more ``shard_words`` mean fewer scans and larger workers.  Spans are kept by digest
+of the text, so a text with any number of copies is one row, and only documents that
+meet a bitmap of the digests are joined with their spans: no other text is shuffled.
+Before streaming, runs of words that no item uses are skipped, which can't lose a match.
 
 Defined cases: null text or item has no words; empty items match nothing; without
 items every document is clean; repeated rows are judged one by one, repeated items
-count by their distinct ids; extra columns pass through ``decontaminate``.
+count by their distinct ids, and a null id counts as the empty one; extra columns pass
+through ``decontaminate``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.exact_dedup import cells_of, with_repeated
 from tidemark.llm.words import plain_names
+from tidemark.workspace import Workspace
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -41,7 +52,7 @@ def normal_words(text: bytes | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Suffix automaton over all items of a shard, with windows and their items."""
+    """Suffix automaton over all pieces of a shard, with windows and their items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
@@ -171,39 +182,88 @@ class ItemAutomaton:
                 spans.append((start, i))
 
 
-def automata(items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[dict]:
-    """The plain values of one automaton per shard of items, built on the executors."""
+def _pieces(window: int, size: int):
+    """Items as normalised pieces of at most ``size`` words that together hold every window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bodies, counts = [], [], []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+                words = normal_words(text.as_py())
+                for start in range(0, max(len(words) - window, 0) + 1, size - window + 1):
+                    piece = words[start:start + size]
+                    if piece:
+                        ids.append(item)
+                        bodies.append(b" ".join(piece))
+                        counts.append(len(piece))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), pa.array(bodies, pa.binary()), pa.array(counts, pa.int64())],
+                names=["item_id", "piece", "n"])
+
+    return run
+
+
+def _fillings(pieces: list[tuple[str, bytes]], shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The pieces in order, in lists that are closed once they hold ``shard_words`` words."""
+    filling, held = [], 0
+    for item, piece in pieces:
+        words = piece.split()
+        filling.append((item, words))
+        held += len(words)
+        if held >= shard_words:
+            yield filling
+            filling, held = [], 0
+    if filling:
+        yield filling
+
+
+def automata(items: DataFrame, space: Workspace, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``shard automaton``: the pickled values of one automaton per row, built on the executors and staged."""
     rows = plain_names(items, "item_id", "text").select(
-        F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    # Every word takes a byte and a blank, so half the bytes bound the words.
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / 2 / shard_words))
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    # Small pieces fill shards evenly; two windows at least, or the shared words outweigh the others.
+    size = max(2 * window, shard_words // 10)
+    pieces = space.stage(rows.mapInArrow(_pieces(window, size), "item_id string, piece binary, n long").distinct(), "pieces")
+    shards = math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / shard_words)
 
     def build(group: pa.Table) -> pa.Table:
-        pairs = sorted({(i or "", t or b"") for i, t in zip(
-            group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True)})
-        built = ItemAutomaton([(i, normal_words(t)) for i, t in pairs], window)
-        return pa.table({"automaton": pa.array([pickle.dumps(vars(built))], pa.binary())})
+        held = sorted(zip(group.column("item_id").to_pylist(), group.column("piece").to_pylist(), strict=True))
+        built = [pickle.dumps(vars(ItemAutomaton(filling, window))) for filling in _fillings(held, shard_words)]
+        return pa.table({"automaton": pa.array(built, pa.binary())})
 
-    built = (rows.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    built = (pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(shards, 1))))
              .groupBy("shard").applyInArrow(build, "automaton binary"))
-    for row in built.toLocalIterator():
-        yield pickle.loads(bytes(row.automaton))
+    return space.stage(built.select(F.monotonically_increasing_id().alias("shard"), "automaton"), "automata")
 
 
 SPANS = "array<struct<start:int,end:int>>"
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per document ``n_words``, the word ``spans`` inside occurrences and the ``items`` found."""
-    context = docs.sparkSession.sparkContext
-    rows = plain_names(docs, "doc_id", "text").select(
-        "doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = rows.schema
-    for shard in automata(items, window, shard_words):
-        rows = rows.mapInArrow(_through(context.broadcast(shard)), schema)
-    return rows.drop("text")
+HITS = f"digest binary, spans {SPANS}, items array<string>"
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def found_in(docs: DataFrame, items: DataFrame, space: Workspace, window: int = WINDOW,
+             shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``digest spans items``, staged: one row per distinct text that holds an occurrence of any shard."""
+    spark = docs.sparkSession
+    texts = plain_names(docs, "text").select(F.col("text").cast("binary").alias("text"))
+    shards = automata(items, space, window, shard_words)
+    passes = []
+    for (shard,) in shards.select("shard").collect():
+        state = shards.where(F.col("shard") == shard).first().automaton
+        shared = spark.sparkContext.broadcast(bytes(state))
+        # Rows of one digest are alike, so any of them stands for all; copies are combined before the shuffle.
+        hits = texts.mapInArrow(_hits(shared), HITS).groupBy("digest").agg(
+            F.first("spans").alias("spans"), F.first("items").alias("items"))
+        passes.append(space.stage(hits, "hits"))
+        shared.destroy()
+    if len(passes) < 2:
+        return passes[0] if passes else spark.createDataFrame([], HITS)
+    each = reduce(DataFrame.unionAll, passes).groupBy("digest").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return space.stage(each.mapInArrow(_unite, HITS), "found")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,29 +276,49 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _through(shared):
-    """Scan batches with one shard's automaton, adding to what earlier shards found."""
+def _hit_rows(rows: list[tuple[bytes, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+    spans = [[{"start": s, "end": e} for s, e in _merged(row[1])] for row in rows]
+    return pa.RecordBatch.from_arrays([
+        pa.array([row[0] for row in rows], pa.binary()),
+        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        pa.array([sorted(row[2]) for row in rows], pa.list_(pa.string()))], names=["digest", "spans", "items"])
+
+
+def _hits(shared):
+    """Digest, spans and items of the texts that the broadcast automaton finds something in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ItemAutomaton.of(shared.value)
+        automaton = ItemAutomaton.of(pickle.loads(shared.value))
         for batch in batches:
-            sizes, spans, items = [], [], []
-            before_s, before_i = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            for text, old_s, old_i in zip(batch.column("text"), before_s, before_i, strict=True):
-                words = normal_words(text.as_py())
-                got, found = automaton.scan(words)
-                got = _merged(got + [(s["start"], s["end"]) for s in old_s])
-                sizes.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in got])
-                items.append(sorted({*found, *old_i}))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+            rows = []
+            for text in batch.column("text"):
+                body = text.as_py()
+                spans, found = automaton.scan(normal_words(body))
+                if spans:
+                    rows.append((hashlib.sha256(body).digest(), spans, found))
+            yield _hit_rows(rows)
 
     return run
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several shards found in a text, merged."""
+    for batch in batches:
+        yield _hit_rows([
+            (row["digest"], [(s["start"], s["end"]) for s in row["spans"]], set(row["items"])) for row in batch.to_pylist()])
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per document ``n_words``, the word ``spans`` inside occurrences and the ``items`` found."""
+    found = found_in(docs, items, Workspace(docs.sparkSession), window, shard_words)
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+"))
+    rows = plain_names(docs, "doc_id", "text").select(
+        "doc_id", _digest("text").alias("digest"), F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
+    return rows.join(found, "digest", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5,
                   shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents, all columns kept, without the words inside item occurrences.
@@ -246,9 +326,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     A document of which occurrences cover more than ``max_coverage`` is removed.
     Spans of all shards are found in the whole text before any of it is cut.
     """
-    context = docs.sparkSession.sparkContext
-    shards = [context.broadcast(shard) for shard in automata(items, window, shard_words)]
-    return docs.mapInArrow(_cutting(shards, max_coverage), T.StructType(docs.schema.fields)) if shards else docs
+    space = Workspace(docs.sparkSession)
+    found = found_in(docs, items, space, window, shard_words)
+    bitmap = space.stage(cells_of(found, ["digest"]), "cells")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = with_repeated(rows.withColumn("digest", _digest("row.text")), ["digest"], bitmap)
+    # The bitmap lets some clean texts through: they meet no spans and stay as they are.
+    met = rows.where("shared").join(found, "digest", "left").select("row", "spans")
+    cut = met.mapInArrow(_cutting(max_coverage), T.StructType(docs.schema.fields))
+    return rows.where("NOT shared").select("row.*").unionAll(cut)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -263,24 +349,22 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _cutting(shards, max_coverage: float):
+def _cutting(max_coverage: float):
+    """Rows with their spans, cut; rows that are mostly spans are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [ItemAutomaton.of(shard.value) for shard in shards]
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            keep, changed = [], {}
-            for i, text in enumerate(batch.column(place).cast(pa.binary())):
-                body = text.as_py()
-                words = normal_words(body)
-                spans = _merged([span for automaton in built for span in automaton.scan(words)[0]])
-                hit = sum(e - s for s, e in spans)
-                keep.append(hit <= max_coverage * len(words))
-                if spans:
-                    changed[i] = cut_words(body, spans).decode("utf-8", "replace")
-            if changed:
-                texts = [changed.get(i, t) for i, t in enumerate(batch.column(place).to_pylist())]
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            packed = batch.column("row")
+            rows = pa.RecordBatch.from_arrays(packed.flatten(), names=[f.name for f in packed.type])
+            place = rows.schema.get_field_index("text")
+            keep, texts = [], []
+            for text, spans in zip(rows.column(place).cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
+                body, places = text.as_py(), [(s["start"], s["end"]) for s in spans or ()]
+                keep.append(sum(e - s for s, e in places) <= max_coverage * len(normal_words(body)))
+                texts.append(cut_words(body, places) if places else body)
+            kind = rows.schema.field(place)
+            rows = rows.set_column(place, kind, pa.array(texts, pa.binary()).cast(kind.type, safe=False))
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return run
 
