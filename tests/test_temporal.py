@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +82,33 @@ def test_split_filter_reaches_the_scan(sales):
 def test_fold_members_need_no_join(sales):
     plan = t.fold_members(sales, t.walk_forward_folds(sales))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 4, 400])
+def test_fold_members_equal_the_filters_of_each_fold(spark, n):
+    edge = [datetime(2000, 1, 1) + timedelta(days=3 * i) for i in range(n + 2)]
+    folds = [t.Fold(i, edge[i], edge[i + 1]) for i in range(1, n + 1) if i % 7 != 3]
+    days = [None, edge[0], edge[1], edge[-1], datetime(1990, 1, 1), datetime(2030, 1, 1), *edge[2:30], *(e + timedelta(hours=5) for e in edge[-12:])]
+    rows = spark.createDataFrame(list(enumerate(days)), "row_id int, history_date timestamp_ntz")
+    got = sorted((r.row_id, r.fold, r.role) for r in t.fold_members(rows, folds[::-1]).collect())
+    want = [(i, f.fold, role) for i, d in enumerate(days) if d for f in folds
+            for role, inside in (("train", d < f.val_start), ("val", f.val_start <= d < f.val_end)) if inside]
+    assert got == sorted(want) and t.fold_members(rows, folds).schema["role"].dataType.simpleString() == "string"
+
+
+def test_fold_members_plan_does_not_grow(spark):
+    rows = spark.createDataFrame([(1, datetime(2000, 1, 9))], "row_id int, history_date timestamp_ntz")
+
+    def cases(n):
+        edge = [datetime(2000, 1, 1) + timedelta(days=i) for i in range(n + 2)]
+        made = t.fold_members(rows, [t.Fold(i, edge[i], edge[i + 1]) for i in range(1, n + 1)])
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("CASE WHEN"), plan.count("get(")
+
+    assert cases(4) == cases(400) != (0, 0)
+
+
+def test_fold_members_of_overlapping_folds(spark):
+    rows = spark.createDataFrame([(1, datetime(2000, 1, 9))], "row_id int, history_date timestamp_ntz")
+    with pytest.raises(ValueError, match="overlap"):
+        t.fold_members(rows, [t.Fold(1, datetime(2000, 1, 1), datetime(2000, 3, 1)), t.Fold(2, datetime(2000, 2, 1), datetime(2000, 4, 1))])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from fractions import Fraction
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,14 +164,37 @@ def folds_table(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
 def fold_members(df: DataFrame, folds: Sequence[Fold], date: str = DATE) -> DataFrame:
     """A copy of each row per fold it takes part in, with its role there.
 
-    The folds are literals, so this is a narrow projection without any join.
-    Training loops should rather filter with ``Fold.train_rows``.
+    The sorted fold starts are one array literal.  A binary search in it gives the number
+    of folds that have started at the row's date: the row is in the validation part of
+    the last of them, unless that fold has ended, and trains every later fold.  The plan
+    is the same for any number of folds, and a narrow projection without a join.  Rows
+    without a date are in no fold.  Training loops should rather filter with
+    ``Fold.train_rows``.
     """
-    roles = [
-        F.when(f.train_rows(date), F.struct(F.lit(f.fold).alias("fold"), F.lit("train").alias("role")))
-        .when(f.val_rows(date), F.struct(F.lit(f.fold).alias("fold"), F.lit("val").alias("role")))
-        for f in folds]
-    return df.select("*", F.inline(F.array_compact(F.array(*roles))))
+    folds = sorted(folds, key=lambda f: f.val_start)
+    if any(this.val_end > later.val_start for this, later in pairwise(folds)):
+        raise ValueError("folds whose validation ranges overlap")
+    at = named(date).cast("timestamp_ntz")
+    starts, ends = (F.array(*edges).cast("array<timestamp_ntz>") for edges in (
+        [instant(f.val_start) for f in folds], [instant(f.val_end) for f in folds]))
+    numbers = F.array(*[F.lit(f.fold) for f in folds]).cast("array<int>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(folds).bit_length()))]).cast("array<int>")
+    started = F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (n + step <= len(folds)) & (F.get(starts, n + step - 1) <= at), n + step).otherwise(n))
+
+    def roles(n: Column) -> Column:
+        val = F.when(F.get(ends, n - 1) > at, F.array(_role(F.get(numbers, n - 1), "val")))
+        train = F.when(n < len(folds), F.transform(
+            F.sequence(n, F.lit(len(folds) - 1)), lambda i: _role(F.get(numbers, i), "train")))
+        none = F.array().cast("array<struct<fold:int,role:string>>")
+        return F.concat(F.coalesce(val, none), F.coalesce(train, none))
+
+    met = F.when(at.isNotNull(), F.flatten(F.transform(F.array(started), roles)))
+    return df.select("*", F.inline(met))
+
+
+def _role(fold: Column, role: str) -> Column:
+    return F.struct(fold.alias("fold"), F.lit(role).alias("role"))
 
 
 def fold_support(df: DataFrame, folds: Sequence[Fold], date: str = DATE, min_rows: int = 1000) -> DataFrame:
