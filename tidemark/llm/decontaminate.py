@@ -237,6 +237,7 @@ def automata(items: DataFrame, space: Workspace, window: int = WINDOW, shard_wor
 
 
 SPANS = "array<struct<start:int,end:int>>"
+COUNTED = [T.StructField("digest", T.BinaryType()), T.StructField("n_words", T.LongType())]
 HITS = f"digest binary, spans {SPANS}, items array<string>"
 
 
@@ -308,12 +309,23 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (row["digest"], [(s["start"], s["end"]) for s in row["spans"]], set(row["items"])) for row in batch.to_pylist()])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and number of words of each text; null text has no digest and no words."""
+    for batch in batches:
+        digests, sizes = [], []
+        for text in batch.column("text"):
+            body = text.as_py()
+            digests.append(None if body is None else hashlib.sha256(body).digest())
+            sizes.append(len(normal_words(body)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "n_words"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document ``n_words``, the word ``spans`` inside occurrences and the ``items`` found."""
     found = found_in(docs, items, Workspace(docs.sparkSession), window, shard_words)
-    words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+"))
-    rows = plain_names(docs, "doc_id", "text").select(
-        "doc_id", _digest("text").alias("digest"), F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
+    rows = plain_names(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(_counted, T.StructType([rows.schema["doc_id"], *COUNTED]))
     return rows.join(found, "digest", "left").select(
         "doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
