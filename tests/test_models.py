@@ -173,6 +173,13 @@ def test_even_sample_positions(spark, workspace):
     assert importance.even_sample(df, workspace, n=5000).count() == 997
 
 
+def test_even_sample_of_more_rows_than_an_int_product_takes(spark, workspace):
+    rows = 700_001
+    got = importance.even_sample(spark.range(rows).withColumnRenamed("id", "row_id"), workspace).orderBy("sample_index").collect()
+    assert [r.row_id for r in got] == [i * (rows - 1) // 3999 for i in range(4000)]
+    assert [r.sample_index for r in got] == list(range(4000))
+
+
 def test_permutation_importance_of_a_useless_feature(spark, workspace):
     rng = random.Random(4)
     rows = [(i, rng.random(), rng.random()) for i in range(400)]
