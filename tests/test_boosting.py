@@ -47,14 +47,20 @@ def test_early_stop_is_the_one_of_spark(train):
 def test_small_blocks_slices_and_rebuilt_residuals_give_the_same_model(train, monkeypatch):
     learner = learners.boosted_trees(max_iter=4, max_depth=3)
     whole = learner.fit(train)
-    for name, small in (("BLOCK_ROWS", 100), ("REBUILD_ROUNDS", 2), ("HISTOGRAM_BYTES", 16 * 600), ("SLICE_CELLS", 8), ("DRIVER_BYTES", 0), ("BUNDLED_FEATURES", 0)):
+    for name, small in (("BLOCK_ROWS", 100), ("REBUILD_ROUNDS", 2), ("HISTOGRAM_BYTES", 16 * 600), ("SLICE_CELLS", 8), ("DRIVER_BYTES", 0), ("BUNDLED_FEATURES", 0), ("TASK_BYTES", 0)):
         monkeypatch.setattr(boosting, name, small)
-    cut = learner.fit(train)
+    cut = learner.fit(train.repartition(3))
     np.testing.assert_allclose(predicted(cut, train), predicted(whole, train), rtol=1e-9)
 
 
-def test_a_round_starts_few_jobs_and_keeps_no_residuals(spark, train):
-    """One job per level, however many rounds went before, and nothing is left cached."""
+def test_shuffled_and_driver_sums_are_those_of_one_task(train, monkeypatch):
+    learner = learners.boosted_trees(max_iter=2, max_depth=3)
+    whole = learner.fit(train)
+    monkeypatch.setattr(boosting, "TASK_BYTES", 0)
+    np.testing.assert_allclose(predicted(learner.fit(train), train), predicted(whole, train), rtol=1e-9)
+
+
+def test_boosting_leaves_no_residuals_cached(spark, train):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     model = learners.boosted_trees(max_iter=3, max_depth=3).fit(train)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
