@@ -151,6 +151,24 @@ def edited_line(rng, words, edits, letters):
     return words
 
 
+def test_exploded_signatures_and_shingles_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes them like the small table that they come from."""
+    plans, stage = {}, Workspace.stage
+
+    def spied(self, df, name, **options):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(self, df, name, **options)
+
+    monkeypatch.setattr(Workspace, "stage", spied)
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat_ws(' ', 'a b c d e f g h i j', id % 4) AS text")
+    near_dups.near_duplicates(docs).collect()
+    # Made of the exploded rows: the profiles, and the lists whose nodes met enough of their shingles.
+    for plan in (plans["profiles"][0], plans["mixed"][1]):
+        joins = [line for line in plan.splitlines() if "Join" in line and ("[key#" in line or "[shingle#" in line)]
+        assert any("SortMergeJoin [key#" in line or "SortMergeJoin [shingle#" in line for line in joins), plan
+        assert not any("BroadcastHashJoin [shingle#" in line for line in joins), plan
+
+
 @pytest.mark.parametrize("max_edits,words_per_edit", [(1, 4), (2, 8), (2, 2), (3, 5)])
 def test_lines_match_brute_force(spark, max_edits, words_per_edit):
     rng = random.Random(max_edits * 10 + words_per_edit)
