@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -343,6 +344,27 @@ def test_a_failed_job_is_not_a_skipped_candidate(spark):
         compare.fit_all(spark.range(1), [learners.Learner("Lost", lost)], 1)
 
 
+def test_fits_run_at_a_time_and_wide_ones_take_turns(spark):
+    """Two fits that wait for each other both end; of the wide ones none begins before the last has ended."""
+    import threading
+
+    both, turn = threading.Barrier(2), threading.Lock()
+
+    def meet(train):
+        both.wait(timeout=60)
+        return learners.ConstantModel(0.0)
+
+    def alone(train):
+        assert turn.acquire(blocking=False)
+        time.sleep(0.2)
+        turn.release()
+        return learners.ConstantModel(1.0)
+
+    found = [learners.Learner("A", meet), *[learners.Learner(n, alone, wide=True) for n in "BC"], learners.Learner("D", meet)]
+    models, skipped = compare.fit_all(spark.range(1), found, 1)
+    assert list(models) == ["A", "B", "C", "D"] and not skipped
+
+
 def test_boosting_stops_early_on_held_out_rows(spark):
     rows = spark.range(4000).select(
         F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("x"),
