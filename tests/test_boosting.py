@@ -60,6 +60,27 @@ def test_shuffled_and_driver_sums_are_those_of_one_task(train, monkeypatch):
     np.testing.assert_allclose(predicted(learner.fit(train), train), predicted(whole, train), rtol=1e-9)
 
 
+def test_a_small_table_takes_a_job_for_many_rounds(spark, train):
+    context = spark.sparkContext
+    context.setJobGroup("rounds", "")
+    try:
+        learners.boosted_trees(max_iter=40, max_depth=2).fit(train)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("rounds")) < 40
+
+
+def test_rounds_of_several_jobs_are_those_of_one(train, monkeypatch):
+    plain = learners.boosted_trees(max_iter=7, max_depth=3)
+    stopped = learners.boosted_trees(max_iter=12, max_depth=3, validation_fraction=0.25, tol=0.2)
+    whole, early = plain.fit(train), stopped.fit(train)
+    monkeypatch.setattr(boosting, "JOB_ROUNDS", 3)
+    np.testing.assert_allclose(predicted(plain.fit(train), train), predicted(whole, train), rtol=1e-9)
+    again = stopped.fit(train)
+    assert again.getNumTrees == early.getNumTrees < 12
+    np.testing.assert_allclose(again.featureImportances.toArray(), early.featureImportances.toArray(), rtol=1e-9)
+
+
 def test_boosting_leaves_no_residuals_cached(spark, train):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     model = learners.boosted_trees(max_iter=3, max_depth=3).fit(train)
